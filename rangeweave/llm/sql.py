@@ -35,3 +35,31 @@ WITH d AS (
 SELECT d.doc_id, d.size, g.source_size, g.target, ((g.whole + k.extra) * d.size)::BIGINT AS taken
 FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source JOIN k ON d.source IS NOT DISTINCT FROM k.source AND d.h = k.h
 """
+
+ORACLES["op4_decontamination"] = r"""
+WITH b AS (
+  SELECT item_id, w FROM (
+    SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark) WHERE len(w) > 0
+), bw AS (
+  SELECT DISTINCT item_id, least(len(w), 8) AS width, array_to_string(w[i:i + least(len(w), 8) - 1], ' ') AS win
+  FROM b, unnest(range(1, len(w) - least(len(w), 8) + 2)) AS u(i)
+), d AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), dw AS (
+  SELECT r, k.width, i, array_to_string(w[i:i + k.width - 1], ' ') AS win
+  FROM d, (SELECT DISTINCT width FROM bw) k, unnest(range(1, len(w) - k.width + 2)) AS u(i)
+), h AS (
+  SELECT dw.r, dw.i, dw.width, bw.item_id FROM dw JOIN bw ON dw.width = bw.width AND dw.win = bw.win
+), n AS (
+  SELECT r, count(DISTINCT p) AS n_hit FROM h, unnest(range(h.i, h.i + h.width)) AS u(p) GROUP BY r
+), m AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT r, item_id::VARCHAR AS item FROM h) GROUP BY r
+)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n.n_hit, 0)::BIGINT AS n_hit, coalesce(m.n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(m.items, '')) AS items_sha256, coalesce(m.n_items, 0) >= 2 AS contaminated
+FROM d LEFT JOIN n ON d.r = n.r LEFT JOIN m ON d.r = m.r
+"""
