@@ -118,10 +118,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 8, most_it
     joined = docs.join(
         found, F.col(id_column).eqNullSafe(F.col("_id")) & (F.xxhash64(text_column) == F.col("text_hash")), "left"
     ).filter(F.col("_items").isNull() | (F.col("_items") <= most_items))
-    text = F.col(text_column)
-    own = F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))
-    gaps = F.split(text, WORDS)
+    own = F.regexp_extract_all(text_column, F.lit(WORDS), F.lit(0))
+    joined = joined.withColumns(
+        {"_own": F.when(F.col("_items").isNotNull(), own), "_gaps": F.when(F.col("_items").isNotNull(), F.split(text_column, WORDS))}
+    )
     covered = lambda i: F.exists("hits", lambda h: (h["pos"] <= i) & (i < h["pos"] + h["width"]))
-    kept = F.transform(own, lambda w, i: F.when(covered(i), F.lit("")).otherwise(F.concat(w, F.get(gaps, i + 1))))
-    cut = F.concat(F.get(gaps, F.lit(0)), F.array_join(kept, ""))
-    return joined.withColumn(text_column, F.when(F.col("_items").isNotNull(), cut).otherwise(text)).select(*docs.columns)
+    kept = F.transform("_own", lambda w, i: F.when(covered(i), F.lit("")).otherwise(F.concat(w, F.get("_gaps", i + 1))))
+    cut = F.concat(F.get("_gaps", F.lit(0)), F.array_join(kept, ""))
+    text = F.when(F.col("_items").isNotNull(), cut).otherwise(F.col(text_column))
+    return joined.withColumn(text_column, text).select(*docs.columns)
