@@ -59,6 +59,15 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import near_duplicates
+
+    found = near_duplicates(_table(spark, sf_dir, "embeddings"))
+    return found.select(
+        F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept")
+    )
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archived
 
