@@ -21,6 +21,16 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import crc_mod
+    from .language import identify, train
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = train(docs.filter(crc_mod(F.col("doc_id"), 3) != 1), "doc_id", "text", "lang")
+    found = identify(docs, model)
+    return found.select(F.col("id").alias("doc_id"), (crc_mod(F.col("id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import KINDS, find, listed
 
@@ -68,6 +78,21 @@ def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import crc_mod
+    from .quality import score, train
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").filter(crc_mod(F.col("doc_id"), 4) != 2)
+    found = score(docs, train(docs, labels))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        (crc_mod(F.col("id"), 4) == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archived
 
