@@ -101,6 +101,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import dedup
+
+    return dedup(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
