@@ -61,6 +61,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .perplexity import scores
+
+    return scores(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
