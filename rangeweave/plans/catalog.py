@@ -2,10 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+
+from rangeweave.sources.fixtures import Tables
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers f(tables) under its name, with SQL for the same rows if there is some."""
+
+    def register(f):
+        _QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql:
+            _ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _load() -> None:
+    from rangeweave.plans import consumers, log, metadata, relational, sequential  # noqa: F401
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(_ORACLES)
