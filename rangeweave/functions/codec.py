@@ -8,6 +8,7 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The tags of the payload's first byte.
 NONE, LZ4, ZSTD = 0, 1, 2
@@ -62,7 +63,10 @@ def encode_payload(codec: int = NONE):
     return run
 
 
-@F.pandas_udf("array<struct<key:binary,value:binary>>")
+_PAIRS = T.ArrayType(T.StructType([T.StructField("key", T.BinaryType()), T.StructField("value", T.BinaryType())]))
+
+
+@F.pandas_udf(_PAIRS)
 def decode_payload(payload: pd.Series, count: pd.Series) -> pd.Series:
     return pd.Series([[{"key": k, "value": v} for k, v in decode(bytes(p), int(n))] for p, n in zip(payload, count, strict=True)])
 

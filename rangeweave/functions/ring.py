@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _C1, _C2 = np.uint32(0xCC9E2D51), np.uint32(0x1B873593)
 
@@ -36,7 +37,7 @@ def murmur3(keys: list[bytes]) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def murmur3_32(keys: pd.Series) -> pd.Series:
     """The hash of a binary column as an unsigned value in a long; null for null."""
     known = keys.notna()
