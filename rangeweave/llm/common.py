@@ -68,7 +68,7 @@ def crc_mod(doc_id, n: int):
 
 
 def cells(df: DataFrame, keys: list[str], limit: int, member: str) -> DataFrame:
-    """Adds ``cell`` and ``side`` so that every pair of rows of a group meets in exactly one cell.
+    """Adds ``cell``, ``side`` and ``alone`` (the cell is one chunk) so that every pair of rows of a group meets in exactly one cell.
 
     A group of up to ``limit`` rows is one cell (0, side 0). A larger one is cut by a hash of
     ``member`` into k chunks; cell (i, i) holds chunk i and cell (i, j) holds chunks i (side 0)
@@ -76,7 +76,7 @@ def cells(df: DataFrame, keys: list[str], limit: int, member: str) -> DataFrame:
     """
     sizes = df.groupBy(*keys).count().filter(F.col("count") > limit)
     if sizes.isEmpty():
-        return df.withColumns({"cell": F.lit(0).cast("long"), "side": F.lit(0)})
+        return df.withColumns({"cell": F.lit(0).cast("long"), "side": F.lit(0), "alone": F.lit(True)})
     sizes = sizes.select(*keys, F.ceil(F.col("count") / limit).alias("_k"))
     chunk = F.pmod(F.xxhash64(F.lit("cell"), F.col(member)), F.col("_k"))
     many = F.transform(
@@ -84,14 +84,15 @@ def cells(df: DataFrame, keys: list[str], limit: int, member: str) -> DataFrame:
         lambda j: F.struct(
             (F.least(F.col("_c"), j) * F.col("_k") + F.greatest(F.col("_c"), j)).alias("cell"),
             (F.col("_c") > j).cast("int").alias("side"),
+            (F.col("_c") == j).alias("alone"),
         ),
     )
-    one = F.array(F.struct(F.lit(0).cast("long").alias("cell"), F.lit(0).alias("side")))
+    one = F.array(F.struct(F.lit(0).cast("long").alias("cell"), F.lit(0).alias("side"), F.lit(True).alias("alone")))
     return (
         df.join(sizes, keys, "left")
         .withColumn("_c", chunk)
         .withColumn("_at", F.explode(F.when(F.col("_k").isNull(), one).otherwise(many)))
-        .select(*df.columns, F.col("_at.cell").alias("cell"), F.col("_at.side").alias("side"))
+        .select(*df.columns, F.col("_at.cell").alias("cell"), F.col("_at.side").alias("side"), F.col("_at.alone").alias("alone"))
     )
 
 

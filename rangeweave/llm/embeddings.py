@@ -90,8 +90,10 @@ def hashed(vectors: DataFrame, k: int, tables: int) -> DataFrame:
     return vectors.select("node", "n", "v").mapInArrow(run, "t int, bucket long, node long, n long, v array<double>")
 
 
-def _bucket(node, n, v, side, t, k, tables, threshold):
-    """(gains, links): for node indexes the number of vectors linked, and pairs of indexes of a spanning forest."""
+def _bucket(node, n, v, side, alone, t, k, tables, threshold):
+    """``alone``: the cell is one chunk, whose inner pairs count; else pairs across its two sides do.
+
+    (gains, links): for node indexes the number of vectors linked, and pairs of indexes of a spanning forest."""
     gains = np.zeros(len(node), np.int64)
     forest = Forest(len(node))
     x = _normal(v)
@@ -105,9 +107,9 @@ def _bucket(node, n, v, side, t, k, tables, threshold):
                 own[r] = s
         return np.array([own[r] for r in rows])
 
-    for a in range(0, len(node) if cut == len(node) else cut, BLOCK):
-        for b in range(a if cut == len(node) else cut, len(node), BLOCK):
-            i, j = np.nonzero(x[a : a + BLOCK] @ x[b : b + BLOCK].T >= threshold - 1e-9)
+    for a in range(0, cut, BLOCK):
+        for b in range(a if alone else cut, len(node), BLOCK):
+            i, j = np.nonzero(x[a : min(a + BLOCK, cut)] @ x[b : b + BLOCK].T >= threshold - 1e-9)
             i, j = i + a, j + b
             keep = i < j
             i, j = i[keep], j[keep]
@@ -150,6 +152,7 @@ def links(buckets: DataFrame, k: int, tables: int, threshold: float, limit: int
             if hi - lo < 2:
                 continue
             part = table.slice(lo, hi - lo)
+            alone = bool(part.column("alone")[0].as_py())
             node, n, side = (part.column(c).to_numpy() for c in ("node", "n", "side"))
             order = np.argsort(side, kind="stable")
             column = part.column("v").combine_chunks()
@@ -157,7 +160,7 @@ def links(buckets: DataFrame, k: int, tables: int, threshold: float, limit: int
             for dim in np.unique(sizes):
                 at = order[sizes[order] == dim]
                 v = _matrix(column.take(pa.array(at)), int(dim))
-                gains, a, b = _bucket(node[at], n[at], v, side[at], int(part.column("t")[0].as_py()), k, tables, threshold)
+                gains, a, b = _bucket(node[at], n[at], v, side[at], alone, int(part.column("t")[0].as_py()), k, tables, threshold)
                 some = np.flatnonzero(gains)
                 if len(some):
                     own = node[at]
