@@ -27,8 +27,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near-duplicates the document of the smallest id (one row of it); rows with a null id stay."""
     found = simhash.near_duplicates(docs)
-    gone = found.filter("id is not null and id <> component").select(F.col("id").alias("_id")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == F.col("_id"), "left_anti")
+    gone = found.filter("id is not null and id <> component").select(F.col("id").alias("__gone_id")).distinct()
+    kept = docs.join(gone, docs["doc_id"] == F.col("__gone_id"), "left_anti")
     return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
 
 
@@ -42,11 +42,16 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return pii.redact(docs)
 
 
+#: What the last stage adds; columns of these names in its input give way.
+ADDED = ("size", "source_size", "target", "copies", "taken")
+
+
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with their number of copies and the words taken."""
-    found = mixing.mix(docs).select(F.col("id").alias("_id"), F.col("source").alias("_source"), "size", "source_size", "target", "copies", "taken")
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_source")) & (mixing.word_count(docs["text"]) == F.col("size"))
-    return docs.join(found.filter("copies > 0").distinct(), same).drop("_id", "_source")
+    found = mixing.mix(docs).select(F.col("id").alias("__mix_id"), F.col("source").alias("__mix_source"), *ADDED).filter("copies > 0").distinct()
+    docs = docs.drop(*ADDED)
+    same = docs["doc_id"].eqNullSafe(F.col("__mix_id")) & docs["source"].eqNullSafe(F.col("__mix_source")) & (mixing.word_count(docs["text"]) == F.col("size"))
+    return docs.join(found, same).drop("__mix_id", "__mix_source")
 
 
 STAGES = [

@@ -114,16 +114,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 8, most_it
     Texts without a hit stay as they are. Where words go, so does the run of separators after them.
     """
     found = overlaps(docs.select(id_column, text_column).distinct(), benchmark, width, id_column, text_column).filter(F.size("hits") > 0)
-    found = found.select(F.col("id").alias("_id"), "text_hash", "hits", F.size("items").alias("_items"))
+    found = found.select(F.col("id").alias("__hit_id"), F.col("text_hash").alias("__hit_hash"), F.col("hits").alias("__hit_spans"), F.size("items").alias("__hit_items"))
     joined = docs.join(
-        found, F.col(id_column).eqNullSafe(F.col("_id")) & (F.xxhash64(text_column) == F.col("text_hash")), "left"
-    ).filter(F.col("_items").isNull() | (F.col("_items") <= most_items))
+        found, F.col(id_column).eqNullSafe(F.col("__hit_id")) & (F.xxhash64(text_column) == F.col("__hit_hash")), "left"
+    ).filter(F.col("__hit_items").isNull() | (F.col("__hit_items") <= most_items))
     own = F.regexp_extract_all(text_column, F.lit(WORDS), F.lit(0))
     joined = joined.withColumns(
-        {"_own": F.when(F.col("_items").isNotNull(), own), "_gaps": F.when(F.col("_items").isNotNull(), F.split(text_column, WORDS))}
+        {"__hit_own": F.when(F.col("__hit_items").isNotNull(), own), "__hit_gaps": F.when(F.col("__hit_items").isNotNull(), F.split(text_column, WORDS))}
     )
-    covered = lambda i: F.exists("hits", lambda h: (h["pos"] <= i) & (i < h["pos"] + h["width"]))
-    kept = F.transform("_own", lambda w, i: F.when(covered(i), F.lit("")).otherwise(F.concat(w, F.get("_gaps", i + 1))))
-    cut = F.concat(F.get("_gaps", F.lit(0)), F.array_join(kept, ""))
-    text = F.when(F.col("_items").isNotNull(), cut).otherwise(F.col(text_column))
+    covered = lambda i: F.exists("__hit_spans", lambda h: (h["pos"] <= i) & (i < h["pos"] + h["width"]))
+    kept = F.transform("__hit_own", lambda w, i: F.when(covered(i), F.lit("")).otherwise(F.concat(w, F.get("__hit_gaps", i + 1))))
+    cut = F.concat(F.get("__hit_gaps", F.lit(0)), F.array_join(kept, ""))
+    text = F.when(F.col("__hit_items").isNotNull(), cut).otherwise(F.col(text_column))
     return joined.withColumn(text_column, text).select(*docs.columns)

@@ -175,7 +175,7 @@ def listed(spans):
 def redact(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with each span replaced by its kind in angle brackets; overlapping spans become one."""
     found = find(docs.select(id_column, text_column).distinct(), id_column, text_column).filter(F.size("spans") > 0)
-    found = found.select(F.col("id").alias("_id"), "th", "spans")
+    found = found.select(F.col("id").alias("__pii_id"), F.col("th").alias("__pii_th"), F.col("spans").alias("__pii_spans"))
     text = F.col(text_column)
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
@@ -184,6 +184,6 @@ def redact(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
         mark = F.when(s["start"] >= acc["at"], F.concat(F.lit("<"), s["kind"], F.lit(">"))).otherwise("")
         return F.struct(F.concat(acc["out"], piece, mark).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
 
-    done = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))))
-    joined = docs.join(found, F.col(id_column).eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("th")), "left")
-    return joined.withColumn(text_column, F.when(F.col("spans").isNotNull(), done).otherwise(text)).select(*docs.columns)
+    done = F.aggregate("__pii_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))))
+    joined = docs.join(found, F.col(id_column).eqNullSafe(F.col("__pii_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("__pii_th")), "left")
+    return joined.withColumn(text_column, F.when(F.col("__pii_spans").isNotNull(), done).otherwise(text)).select(*docs.columns)
