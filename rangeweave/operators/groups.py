@@ -140,3 +140,11 @@ def moved(before: DataFrame, after: DataFrame) -> DataFrame:
     return before.select(*key).exceptAll(after.select(*key)).withColumn("change", F.lit("Revoked")).unionByName(
         after.select(*key).exceptAll(before.select(*key)).withColumn("change", F.lit("Granted"))
     )
+
+
+def silences(heartbeats: DataFrame, suspect_ms: int, dead_ms: int) -> DataFrame:
+    """T16 in batch: (node, suspect_ms, dead_ms) for each silence longer than ``suspect_ms``; dead_ms is null if a heartbeat came before the node was given up."""
+    nxt = F.lead("at_ms").over(Window.partitionBy("node").orderBy("seq"))
+    rows = heartbeats.withColumn("_gap", F.coalesce(nxt - F.col("at_ms"), F.lit(2**62)))
+    given_up = F.when(F.col("_gap") > suspect_ms + dead_ms, F.col("at_ms") + suspect_ms + dead_ms)
+    return rows.filter(F.col("_gap") > suspect_ms).select("node", (F.col("at_ms") + suspect_ms).alias("suspect_ms"), given_up.alias("dead_ms"))

@@ -252,3 +252,26 @@ def f8_merged_spans(t):
     b = r.select(F.col("range_id").alias("right_id"), F.col("keyspace_start").alias("s2"), F.col("keyspace_end").alias("e2"))
     span = keyspace.merged_span(*[F.col(c) for c in ("s1", "e1", "s2", "e2")])
     return a.join(b, F.col("e1") == F.col("s2")).select("left_id", "right_id", F.lower(F.hex(span["keyspace_start"])).alias("lo"), F.lower(F.hex(span["keyspace_end"])).alias("hi"))
+
+
+@query(sql(_FETCH + "SELECT range_id, sum(payload_bytes)::BIGINT AS bytes, max(entry_id) + 1 AS next_entry_id, 'Active' AS progress FROM f GROUP BY range_id", "entries"))
+def s7_fetch_by_name(t):
+    got = scan.fetch_summary(scan.fetch(t.entries, 5, 2000)).drop("records")
+    return got.join(scan.progress(t.ranges).select("range_id", "progress"), "range_id")
+
+
+@query(sql("SELECT range_id, segment_id, count(*) AS entries, min(entry_id) AS first_entry FROM entries WHERE range_id = 2 AND segment_id >= 3 GROUP BY ALL", "entries"))
+def s11_segment_files(t):
+    from rangeweave.sources.scratch import folder
+
+    path = folder(t.spark, "segments")
+    log.write_segments(t.entries.select("range_id", "segment_id", "entry_id", "record_count", "payload_bytes"), path)
+    back = t.spark.read.schema("entry_id long, record_count long, payload_bytes long, range_id long, segment_id long").parquet(path)
+    return back.filter("range_id = 2 and segment_id >= 3").groupBy("range_id", "segment_id").agg(F.count(F.lit(1)).alias("entries"), F.min("entry_id").alias("first_entry"))
+
+
+@query(sql("SELECT event_id, k AS key_hex, event_type AS value FROM records WHERE range_id <> 1 AND absolute_offset < 40", "records"))
+def s19_consume_command(t):
+    """What ``consume --start earliest --count`` and ``--pause`` show, for each range."""
+    rows = scan.unpaused(t.records, t.spark.createDataFrame([(1,)], "range_id long"))
+    return rows.filter("absolute_offset < 40").select("event_id", F.lower(F.hex("key")).alias("key_hex"), F.col("event_type").alias("value"))

@@ -249,3 +249,21 @@ def r11_ring_reverse_index(t):
 @query()
 def r1_segment_rolls(t):
     return lifecycle.rolled(t.entries, 1500)
+
+
+@query()
+def s22_shard_info(t):
+    """Members and leader, if known, of the shard group of each key."""
+    ring = _ring(t)
+    keys = t.events.select("user_id", "key").distinct()
+    at = membership.shard_groups(keys, ring)
+    members = membership.owners(at, ring, 3).groupBy("group_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node_id"))), lambda x: x["node_id"]), ",").alias("members"))
+    reports = at.select("group_id", F.col("user_id").alias("seq"), F.concat(F.lit("n"), (F.col("user_id") % 5).cast("string")).alias("leader"), (F.col("user_id") % 3).alias("term")).filter("term > 0")
+    return at.join(members, "group_id").join(membership.leaders(reports), "group_id", "left").select("user_id", "group_id", "members", "leader")
+
+
+@query(sql(_DEAD + ", c AS (SELECT range_id, segment_id, len(replicas) - len(dead) AS kept, len(replicas) AS wanted FROM dm) SELECT range_id, segment_id, kept::BIGINT AS kept, (wanted - kept)::BIGINT AS missing FROM c", "segments"))
+def r10_under_replicated(t):
+    rows = lifecycle.with_dead_members(t.segments, _live(t))
+    kept = F.size("replicas") - F.size("dead")
+    return rows.select("range_id", "segment_id", kept.cast("long").alias("kept"), F.size("dead").cast("long").alias("missing"))

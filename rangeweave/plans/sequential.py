@@ -70,3 +70,27 @@ def a2_linger_batches(t):
 def a1_count_batches(t):
     rows = t.routed.select("range_id", F.col("event_id").alias("seq"), F.lit(1).alias("nbytes"), "at_ms")
     return log.batched_by_bytes(rows, 1 << 40, 20).groupBy("range_id").agg(F.count_distinct("batch").alias("batches"))
+
+
+@query()
+def s23_group_sync(t):
+    """After each heartbeat or leave: the generation and the ranges that the member then has."""
+    from pyspark.sql import Window
+
+    synced = a18_group_membership(t)
+    members = synced.withColumn("m", F.explode(F.split("members", ","))).filter("m <> ''")
+    rank = Window.partitionBy("group_id", "seq").orderBy("m")
+    members = members.withColumns({"i": F.row_number().over(rank) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy("group_id", "seq"))})
+    ranges = F.filter(F.sequence(F.lit(0), F.lit(3)), lambda r: r % F.col("n") == F.col("i"))
+    return members.select("group_id", "seq", "generation", F.col("m").alias("member"), F.array_join(F.transform(ranges, lambda r: r.cast("string")), ",").alias("ranges"))
+
+
+@query(sql(_T2, "ev"))
+def s24_open_session(t):
+    return dedup.sessions(_opens(t), 600000)
+
+
+@query(sql(", b AS (SELECT user_id % 5 AS node, at_ms, lead(at_ms) OVER (PARTITION BY user_id % 5 ORDER BY event_id) AS nxt FROM ev) SELECT node, at_ms + 7200000 AS suspect_ms, CASE WHEN nxt IS NULL OR nxt - at_ms > 10800000 THEN at_ms + 10800000 END AS dead_ms FROM b WHERE nxt IS NULL OR nxt - at_ms > 7200000", "ev"))
+def t16_failure_intervals(t):
+    """The failure detector over a bounded log: when silence turns a node Suspect, then Dead."""
+    return groups.silences(t.events.select((F.col("user_id") % 5).alias("node"), F.col("event_id").alias("seq"), "at_ms"), 7200000, 3600000)
