@@ -53,6 +53,11 @@ def small(df: DataFrame, most: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Arrow batches of at most ``most`` bytes from now on: texts differ in length, and 10,000 rows may be gigabytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -96,6 +101,12 @@ def cells(df: DataFrame, keys: list[str], limit: int, member: str) -> DataFrame:
     )
 
 
+def clear(spark: SparkSession) -> None:
+    """Removes all tables and archives that the operators left in the shared folder, once no result is to be read again."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch(spark)}/rangeweave")
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 class Forest:
     """Union-find over 0..n-1 by arrays: ``root`` always points straight at the smallest member."""
 

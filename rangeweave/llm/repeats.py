@@ -29,11 +29,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, written
+from .common import bounded_batches, partitions, written
 
 LEAST, GRAM = 100, 36
 SPAN = LEAST - GRAM + 1  # 36-byte strings in a window: 65
-CHUNK = 4 << 20
+CHUNK = 3 << 20
 LAST = 2**63 - 1
 MANY = np.uint32(0xFFFFFFFF)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -44,8 +44,8 @@ def _power(n: int) -> np.uint64:
     return np.uint64(pow(_BASE, n, 1 << 64))
 
 
-def hashes(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the GRAM and of the LEAST bytes from each position on, where there are as many."""
+def hashes(buffer: np.ndarray, windows: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """Hashes of the GRAM and, with ``windows``, of the LEAST bytes from each position on, where there are as many."""
     level, kept = _TABLE[buffer], {}
     for n in (1, 2, 4, 8, 16, 32):
         if n in (4, 32):
@@ -56,6 +56,8 @@ def hashes(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     gram ^= gram >> np.uint64(31)
     gram *= np.uint64(0xBF58476D1CE4E5B9)
     gram ^= gram >> np.uint64(29)
+    if not windows:
+        return gram, None
     window = (level[: n - 99] * _power(32) + kept[32][64 : n - 35]) * _power(4) + kept[4][96 : n - 3]
     return gram, window
 
@@ -71,7 +73,7 @@ def _slide(x: np.ndarray, pick) -> np.ndarray:
 class Chunk:
     """Texts side by side: per piece of a text its order, text hash, offset in the text and place in the buffer."""
 
-    def __init__(self, parts):
+    def __init__(self, parts, windows: bool):
         self.order = np.array([p[0] for p in parts], np.int64)
         self.th = np.array([p[1] for p in parts], np.int64)
         self.base = np.array([p[2] for p in parts], np.int64)
@@ -79,13 +81,11 @@ class Chunk:
         self.end = np.cumsum(sizes)
         self.start = self.end - sizes
         self.buffer = np.frombuffer(b"".join(p[3] for p in parts), np.uint8)
-        self.gram, self.window = hashes(self.buffer)
-        last = np.zeros(len(self.window) + 1, np.int64)
-        np.add.at(last, self.start, 1)
-        np.add.at(last, np.minimum(self.end - LEAST + 1, len(self.window)), -1)
-        self.inside = np.cumsum(last)[:-1] > 0
-        #: each window's anchor
-        self.least = np.where(self.inside, _slide(self.gram, np.minimum), np.uint64(0))
+        self.gram, self.window = hashes(self.buffer, windows)
+        #: each window's anchor; 0 where the bytes aren't of one text
+        self.least = _slide(self.gram, np.minimum)
+        for a, b in zip(self.end[:-1] - LEAST + 1, self.end[:-1]):
+            self.least[a:b] = 0
 
     def anchors(self) -> np.ndarray:
         padded = np.concatenate((np.zeros(64, np.uint64), self.least, np.zeros(64, np.uint64)))
@@ -98,7 +98,7 @@ class Chunk:
         return np.searchsorted(self.end, at, "right")
 
 
-def chunks(rows):
+def chunks(rows, windows: bool = True):
     """Chunks of about CHUNK bytes from (order, th, text, ...); long texts are cut so that each window is in one piece."""
     held, size = [], 0
     for row in rows:
@@ -108,10 +108,10 @@ def chunks(rows):
             held.append((order, th, at, part, row))
             size += len(part)
             if size >= CHUNK:
-                yield Chunk(held), held
+                yield Chunk(held, windows), held
                 held, size = [], 0
     if held:
-        yield Chunk(held), held
+        yield Chunk(held, windows), held
 
 
 def _rows(batches, columns):
@@ -143,7 +143,7 @@ def _unpacked(data: bytes, *kinds):
 
 def _ask(buckets):
     def run(batches):
-        for chunk, _ in chunks(_rows(batches, (0, 1, 2))):
+        for chunk, _ in chunks(_rows(batches, (0, 1, 2)), windows=False):
             name, at = chunk.name(), chunk.anchors()
             value = chunk.gram[at]
             order = np.argsort(value, kind="stable")
@@ -335,10 +335,10 @@ def _local(buckets):
             at, size = scan(chunk.buffer, chunk.window, starts, opens[starts], np.repeat(end + LEAST - 1, sizes), key)
             piece = chunk.piece(at)
             out = _covers(chunk.order[piece], chunk.th[piece], at - chunk.start[piece] + chunk.base[piece], size, buckets)
-            done = np.zeros(len(valid) + 1, np.int64)
+            done = np.zeros(len(valid) + 1, np.int32)
             np.add.at(done, at, 1)
             np.add.at(done, at + size - LEAST + 1, -1)
-            first, end = _intervals(valid & (np.cumsum(done)[:-1] == 0), split)
+            first, end = _intervals(valid & (np.cumsum(done, dtype=np.int32)[:-1] == 0), split)
             bucket = ((chunk.least[first] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
             sort = np.argsort(bucket, kind="stable")
             first, end, bucket = first[sort], end[sort], bucket[sort]
@@ -401,6 +401,7 @@ def _cut(batches):
 def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", texts: bool = False) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) for each row; ``texts`` adds the bytes that are left."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     n = partitions(spark)
     buckets = 4 * n
     text = F.coalesce(F.col(text_column), F.lit("")).cast("binary")
