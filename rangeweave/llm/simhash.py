@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, cells, components, partitions, written
+from .common import Forest, bounded_batches, cells, components, partitions, written
 
 STEP = 1 << 20
 #: Rows of one subtree that a task takes at once; larger subtrees are cut into cells.
@@ -58,6 +58,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             found = [fingerprint(x.as_py() if x.is_valid else None, shingle) for x in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], names=["id", "fp"])
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("binary").alias("t"))
     return rows.mapInArrow(run, "id long, fp long")
 
