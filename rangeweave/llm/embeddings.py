@@ -31,6 +31,7 @@ STRANGERS = 64
 RECALL = 0.995
 BUCKET_LIMIT = 2048
 BLOCK = 1024
+ROWS = 64
 
 
 def collision(distance: float, width: float = WIDTH) -> float:
@@ -46,14 +47,29 @@ def design(n: int, threshold: float, recall: float = RECALL) -> tuple[int, int]:
     return k, math.ceil(math.log(1 - recall) / math.log(1 - near**k))
 
 
+_DRAWN: dict = {}
+
+
+def _projections(seed: int, dim: int, n: int):
+    """The Gaussian directions, shifts and mixing factors; drawn once in a process."""
+    if (seed, dim, n) not in _DRAWN:
+        rng = np.random.default_rng([seed, dim])
+        a, b = rng.standard_normal((dim, n)), rng.uniform(0, WIDTH, n)
+        _DRAWN[seed, dim, n] = a, b, rng.integers(1, 2**63 - 1, n, dtype=np.int64).astype(np.uint64) | np.uint64(1)
+    return _DRAWN[seed, dim, n]
+
+
 def signatures(x: np.ndarray, k: int, tables: int, seed: int = 7) -> np.ndarray:
     """(rows, tables) 64-bit bucket hashes of normalised rows; the same on every machine."""
     dim = x.shape[1]
-    rng = np.random.default_rng([seed, dim])
-    a, b = rng.standard_normal((dim, tables * k)), rng.uniform(0, WIDTH, tables * k)
-    mix = rng.integers(1, 2**63 - 1, tables * k, dtype=np.int64).astype(np.uint64) | np.uint64(1)
-    # by einsum: the sum's order, and so the last bit, must not depend on how many rows come at once
-    bins = np.floor((np.einsum("rd,dt->rt", x, a) + b) / WIDTH).astype(np.int64).astype(np.uint64)
+    a, b, mix = _projections(seed, dim, tables * k)
+    bins = np.empty((len(x), tables * k), np.uint64)
+    for at in range(0, len(x), ROWS):
+        # blocks of one shape: the order of a sum, and so its last bit, must not depend on how many rows come at once
+        block = np.zeros((ROWS, dim))
+        some = x[at : at + ROWS]
+        block[: len(some)] = some
+        bins[at : at + ROWS] = np.floor((block @ a + b) / WIDTH)[: len(some)].astype(np.int64).astype(np.uint64)
     bins *= mix
     bins ^= bins >> np.uint64(29)
     bins *= np.uint64(0xBF58476D1CE4E5B9)
@@ -87,16 +103,14 @@ def hashed(vectors: DataFrame, k: int, tables: int) -> DataFrame:
                             names=["t", "bucket", "node", "n", "v"],
                         )
 
-    return vectors.select("node", "n", "v").mapInArrow(run, "t int, bucket long, node long, n long, v array<double>")
+    return vectors.select("node", "n", "v").mapInArrow(run, f"t int, bucket long, node long, n long, v {vectors.schema['v'].dataType.simpleString()}")
 
 
-def _bucket(node, n, v, side, alone, t, k, tables, threshold):
-    """``alone``: the cell is one chunk, whose inner pairs count; else pairs across its two sides do.
+def _bucket(x, v, n, side, alone, t, k, tables, threshold):
+    """``x``: ``v`` with unit rows. ``alone``: the cell is one chunk, whose inner pairs count; else pairs across its two sides do.
 
-    (gains, links): for node indexes the number of vectors linked, and pairs of indexes of a spanning forest."""
-    gains = np.zeros(len(node), np.int64)
-    forest = Forest(len(node))
-    x = _normal(v)
+    (gains, links): for node indexes the number of vectors linked, and pairs of indexes of a spanning forest; None if nothing is near."""
+    gains, forest = np.zeros(len(x), np.int64), None
     cut = int((side == 0).sum())
     own: dict[int, np.ndarray] = {}
 
@@ -108,11 +122,13 @@ def _bucket(node, n, v, side, alone, t, k, tables, threshold):
         return np.array([own[r] for r in rows])
 
     for a in range(0, cut, BLOCK):
-        for b in range(a if alone else cut, len(node), BLOCK):
+        for b in range(a if alone else cut, len(x), BLOCK):
             i, j = np.nonzero(x[a : min(a + BLOCK, cut)] @ x[b : b + BLOCK].T >= threshold - 1e-9)
             i, j = i + a, j + b
             keep = i < j
             i, j = i[keep], j[keep]
+            if len(i) and forest is None:
+                forest = Forest(len(x))
             for s in range(0, len(i), 65536):
                 p, q = i[s : s + 65536], j[s : s + 65536]
                 exact = np.einsum("rd,rd->r", v[p], v[q]) / (np.sqrt(np.einsum("rd,rd->r", v[p], v[p])) * np.sqrt(np.einsum("rd,rd->r", v[q], v[q])))
@@ -125,7 +141,9 @@ def _bucket(node, n, v, side, alone, t, k, tables, threshold):
                 np.add.at(gains, p, n[q])
                 np.add.at(gains, q, n[p])
                 forest.link(p, q)
-    linked = np.flatnonzero(forest.root != np.arange(len(node)))
+    if forest is None:
+        return None
+    linked = np.flatnonzero(forest.root != np.arange(len(x)))
     return gains, linked, forest.root[linked]
 
 
@@ -147,31 +165,33 @@ def links(buckets: DataFrame, k: int, tables: int, threshold: float, limit: int
             yield from groups(held, np.array([], np.int64))
 
     def groups(table, change):
-        borders = [0, *change.tolist(), table.num_rows]
-        for lo, hi in zip(borders, borders[1:]):
-            if hi - lo < 2:
-                continue
-            part = table.slice(lo, hi - lo)
-            alone = bool(part.column("alone")[0].as_py())
-            node, n, side = (part.column(c).to_numpy() for c in ("node", "n", "side"))
-            order = np.argsort(side, kind="stable")
-            column = part.column("v").combine_chunks()
-            sizes = np.asarray(column.value_lengths())
-            for dim in np.unique(sizes):
-                at = order[sizes[order] == dim]
-                v = _matrix(column.take(pa.array(at)), int(dim))
-                gains, a, b = _bucket(node[at], n[at], v, side[at], alone, int(part.column("t")[0].as_py()), k, tables, threshold)
-                some = np.flatnonzero(gains)
-                if len(some):
-                    own = node[at]
-                    yield pa.record_batch(
-                        [
-                            pa.array(np.concatenate((own[some], own[a]))),
-                            pa.array(np.concatenate((np.zeros(len(some), np.int64), own[b])), mask=np.arange(len(some) + len(a)) < len(some)),
-                            pa.array(np.concatenate((gains[some], np.zeros(len(a), np.int64)))),
-                        ],
-                        names=["a", "b", "gain"],
-                    )
+        """One batch for all groups of ``table``: columns become arrays once, groups are slices of them."""
+        borders = np.array([0, *change.tolist(), table.num_rows])
+        column = table.column("v").combine_chunks()
+        node, n, side, alone, t = (table.column(c).to_numpy() for c in ("node", "n", "side", "alone", "t"))
+        sizes, group = np.asarray(column.value_lengths()), np.repeat(np.arange(len(borders) - 1), np.diff(borders))
+        order = np.lexsort((side, group, sizes))
+        out: list[list] = [[], [], [], []]
+        for dim in np.unique(sizes):
+            at = order[sizes[order] == dim]
+            v = _matrix(column.take(pa.array(at)), int(dim))
+            x = _normal(v)
+            node_, n_, side_, group_ = node[at], n[at], side[at], group[at]
+            cut = np.flatnonzero(np.concatenate(([True], group_[1:] != group_[:-1], [True])))
+            for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
+                if hi - lo > 1:
+                    own = slice(lo, hi)
+                    found = _bucket(x[own], v[own], n_[own], side_[own], bool(alone[at[lo]]), int(t[at[lo]]), k, tables, threshold)
+                    if found is not None:
+                        gains, first, second = found
+                        some = np.flatnonzero(gains)
+                        for into, values in zip(out, (node_[own][some], gains[some], node_[own][first], node_[own][second]), strict=True):
+                            into.append(values)
+        if out[0]:
+            who, gain, first, second = map(np.concatenate, out)
+            a, b = np.concatenate((who, first)), np.concatenate((np.zeros(len(who), np.int64), second))
+            gain = np.concatenate((gain, np.zeros(len(first), np.int64)))
+            yield pa.record_batch([pa.array(a), pa.array(b, mask=np.arange(len(a)) < len(who)), pa.array(gain)], names=["a", "b", "gain"])
 
     order = ["t", "bucket", "cell"]
     dealt = rows.repartition(partitions(rows.sparkSession), *order).sortWithinPartitions(*order)
@@ -183,7 +203,9 @@ def near_duplicates(
 ) -> DataFrame:
     """(id, n_links, component) for each row of ``vectors``."""
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    v = F.col(vector_column).cast("array<double>")
+    # components travel as given, in four bytes where that is what they are; all sums are in double precision
+    given = vectors.schema[vector_column].dataType.simpleString()
+    v = F.col(vector_column).cast(given if given in ("array<float>", "array<double>") else "array<double>")
     fit = F.col(id_column).isNotNull() & (F.size(v) > 0) & F.forall(v, finite) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.when(F.coalesce(fit, F.lit(False)), v).alias("v"))
     rows = written(rows.withColumn("h", F.xxhash64("v")), "vectors")
