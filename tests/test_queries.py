@@ -36,3 +36,10 @@ def test_query(spark, duck, rows, name):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
+
+
+def test_entry(spark):
+    import __spark_entry__
+
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+    assert __spark_entry__.entry(spark).columns == ["range_id", "records", "bytes", "next_entry_id"]
