@@ -5,7 +5,7 @@ Repeats of ``LEAST`` = 100 bytes or more are found over all texts at once, in bo
 1. Anchors. In every window of 100 bytes the smallest hash of its 36-byte strings is its anchor, so
    equal windows have equal anchors. Each chunk of texts sends every distinct anchor once; anchors
    that occur twice anywhere come back as positions. All other text can hold no repeat.
-2. Chunk by chunk, windows with such anchors make runs, whose suffixes are sorted: by the fingerprint
+2. Chunk by chunk, windows with such anchors make runs of at most 65, whose suffixes are sorted: by the fingerprint
    of their first 100 bytes, verified byte by byte, then by what follows. The sorted array's
    common-prefix intervals are scanned with a stack. Only intervals whose occurrences differ in
    their left neighbours are kept (others are part of the interval one byte further left): the
@@ -224,7 +224,7 @@ def scan(buffer, window, starts, opens, ends, key):
     """(start, length) of covered repeats among windows.
 
     ``starts``: ascending window starts; ``opens``: the window begins its run; ``ends``: where
-    its run's bytes end; ``key``: its place in the order of documents and starts.
+    its run's bytes end, SPAN windows on at most; ``key``: its place in the order of documents and starts.
     """
     none = np.zeros(0, np.int64)
     order = np.argsort(window[starts], kind="stable")
@@ -253,7 +253,7 @@ def scan(buffer, window, starts, opens, ends, key):
     tail = np.lib.stride_tricks.sliding_window_view(wide, 64)[starts[order] + LEAST]
     tail = np.where(np.arange(64)[None, :] < more[:, None], tail, 0)
     words = np.ascontiguousarray(tail).view(">u8").astype(np.uint64)
-    sort = np.lexsort([*words.T[::-1], group])
+    sort = np.lexsort([more, *words.T[::-1], group])  # of equal bytes the shorter first, as zero bytes may be text
     order, group, tail, more = order[sort], group[sort], tail[sort], more[sort]
     differs = tail[1:] != tail[:-1]
     common = np.where(differs.any(axis=1), differs.argmax(axis=1), 64)
@@ -283,12 +283,19 @@ def scan(buffer, window, starts, opens, ends, key):
 
 
 def _intervals(flags: np.ndarray, split: np.ndarray):
-    """First and past-the-last index of runs of true flags, also cut where ``split``."""
+    """First and past-the-last index of runs of true flags, also cut where ``split`` and after each SPAN windows.
+
+    Text that repeats an anchor within every window makes runs of any length; cut, each piece has an
+    opening window, and the 64 bytes that a scan compares after a window reach the piece's end.
+    """
     before = np.concatenate(([False], flags[:-1]))
     after = np.concatenate((flags[1:], [False]))
     first = flags & (~before | split)
     last = flags & (~after | np.concatenate((split[1:], [True])))
-    return np.flatnonzero(first), np.flatnonzero(last) + 1
+    first, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    n = -(-(end - first) // SPAN)
+    begin = np.repeat(first, n) + SPAN * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+    return begin, np.minimum(begin + SPAN, np.repeat(end, n))
 
 
 def _ranked(order: np.ndarray) -> np.ndarray:
@@ -302,12 +309,18 @@ PIECE_KINDS = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
 
 def _covers(order, th, at, size, buckets):
-    """Rows of covered stretches (start in text, length), one row for each text."""
+    """Rows of covered stretches (start in text, length), those that meet made one, one row for each text."""
     if not len(at):
         return []
     sort = np.lexsort((at, th, order))
     order, th, at, size = order[sort], th[sort], at[sort], size[sort]
-    cut = np.flatnonzero(np.concatenate(([True], (order[1:] != order[:-1]) | (th[1:] != th[:-1]), [True])))
+    other = np.concatenate(([True], (order[1:] != order[:-1]) | (th[1:] != th[:-1])))
+    upto = np.maximum.accumulate((np.cumsum(other) << 40) + at + size)
+    apart = np.flatnonzero(other | np.concatenate(([True], (np.cumsum(other)[1:] << 40) + at[1:] > upto[:-1])))
+    upto = upto[np.concatenate((apart[1:], [len(at)])) - 1] & ((1 << 40) - 1)
+    order, th, at, other = order[apart], th[apart], at[apart], other[apart]
+    size = upto - at
+    cut = np.flatnonzero(np.concatenate((other, [True])))
     return [(int(abs(int(th[a])) % buckets), int(order[a]), int(th[a]), COVER, _packed(at[a:b], size[a:b])) for a, b in zip(cut, cut[1:])]
 
 

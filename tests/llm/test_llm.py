@@ -413,6 +413,22 @@ def test_repeats_by_brute_force(spark, monkeypatch, chunk):
     assert {r.id: tuple(r)[1:] for r in found} == plain_removed([(i, t.encode()) for i, t in rows])
 
 
+@pytest.mark.parametrize("chunk", [2000, 4 << 20])
+def test_repeats_of_rows_with_a_changing_number(spark, monkeypatch, chunk):
+    """A 36-byte string in every 65 bytes: runs of thousands of windows with one anchor."""
+    monkeypatch.setattr(repeats, "CHUNK", chunk)
+    random.seed(7)
+    letters = lambda n: "".join(random.choice("abcdefghij ") for _ in range(n))
+    rows = []
+    for k in range(8):
+        row = letters(57)
+        passage = "".join(f"{row}{random.randint(0, 999):03d}" for _ in range(40))
+        rows += [(10 * k, letters(50) + passage + letters(70)), (10 * k + 1, letters(90) + passage[random.randint(0, 80) :] + letters(20)), (10 * k + 2, letters(5) + passage[700:1900])]
+    rows += [(900, "x\0" * 400 + "y" + "\0" * 300), (901, "z" + "x\0" * 300 + "w" + "\0" * 250)]
+    found = repeats.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert {r.id: tuple(r)[1:] for r in found} == plain_removed([(i, t.encode()) for i, t in rows])
+
+
 def test_repeats_of_the_table(spark, texts):
     found = {r.doc_id: tuple(r)[1:] for r in queries.op10_repeats(spark, DIR).collect()}
     assert found == plain_removed([(i, t.encode()) for i, t in texts.items()])
