@@ -259,6 +259,14 @@ def test_predictive_probabilities_add_up(spark):
     assert all(found[i] < 0 for i, _ in probe)
 
 
+def test_a_table_united_with_itself_keeps_all_rows(spark):
+    rows = [(i, f"word{i} and some more words {i % 3}") for i in range(40)]
+    parts = spark.sparkContext.parallelize(rows * 2, 2)  # two partitions, each the whole table
+    found = perplexity.scores(spark.createDataFrame(parts, "doc_id long, text string")).collect()
+    assert collections.Counter((r.id, r.n_tokens) for r in found) == collections.Counter({(i, 7): 2 for i, _ in rows})
+    assert len({(r.id, r.base_score, r.score) for r in found}) == 40
+
+
 def test_lm_edges(edge, empty):
     found = perplexity.scores(edge).collect()
     assert collections.Counter(r.id for r in found)[3] == 2 and len(found) == len(EDGE)
