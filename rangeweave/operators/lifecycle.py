@@ -12,6 +12,8 @@ from rangeweave.functions.keyspace import midpoint
 
 #: Fixed value: pressure rolls in a row after which a range splits.
 SPLIT_AFTER = 3
+#: Bytes at which a log file is rotated, and bytes of a frame besides its payload.
+WAL_FILE, WAL_FRAME = 64 << 20, 17
 
 
 def pressure_streak(rolls: DataFrame) -> DataFrame:
@@ -182,6 +184,24 @@ def rolled(entries: DataFrame, size_limit: int) -> DataFrame:
     return rows.repartition("range_id").sortWithinPartitions("range_id", "entry_id").mapInPandas(fold, "range_id long, entry_id long, segment long")
 
 
+def wal_files(frames: DataFrame, watermark: DataFrame, size_limit: int = WAL_FILE) -> DataFrame:
+    """(log_id, file, frames, bytes, first_lsn, max_lsn, reclaimed) of logs (log_id, lsn, payload_bytes) and a row (watermark).
+
+    Frames of one position are flushed together; a file that reaches the limit is followed by a
+    new one. Leading files up to the watermark go, but never the newest, which is still empty
+    (and has no row) after a full one. A log is folded in order by one task, as streams of its flushes.
+    """
+    size = F.sum(F.col("payload_bytes") + WAL_FRAME).cast("long")
+    flushes = frames.groupBy("log_id", "lsn").agg(F.count(F.lit(1)).alias("frames"), size.alias("bytes"))
+    rolls = rolled(flushes.select(F.col("log_id").alias("range_id"), F.col("lsn").alias("entry_id"), F.col("bytes").alias("payload_bytes")), size_limit)
+    rolls = rolls.select(F.col("range_id").alias("log_id"), F.col("entry_id").alias("lsn"), F.col("segment").alias("file"))
+    files = flushes.join(rolls, ["log_id", "lsn"]).groupBy("log_id", "file")
+    files = files.agg(*[F.sum(k).alias(k) for k in ("frames", "bytes")], F.min("lsn").alias("first_lsn"), F.max("lsn").alias("max_lsn"))
+    # a file below the limit is its log's newest; positions rise from file to file, so those up to the watermark lead
+    gone = (F.col("bytes") >= size_limit) & F.coalesce(F.col("max_lsn") <= F.col("watermark"), F.lit(False))
+    return files.crossJoin(F.broadcast(watermark.select("watermark"))).select("log_id", "file", "frames", "bytes", "first_lsn", "max_lsn", gone.alias("reclaimed"))
+
+
 def epoch_targets(groups: DataFrame, changed: DataFrame) -> DataFrame:
     """(topic_id, range_id, group_id, generation): every group of a topic learns of each changed range."""
     return groups.join(changed, "topic_id").select("topic_id", "range_id", "group_id", "generation")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rangeweave.operators import groups, lineage, recovery, scan
+from rangeweave.operators import groups, lifecycle, lineage, recovery, scan
 from rangeweave.plans.catalog import query
 from rangeweave.sources.fixtures import sql
 
@@ -192,6 +192,16 @@ def s13_wal_reclaim(t):
     return t.records.filter("event_id % 10 <> 9 and event_id < 4000").select("range_id", "segment_id", "entry_id", F.col("event_id").alias("lsn"))
 
 
+@query()
+def s13_wal_files(t):
+    """All records framed, a log for each range; sealed segments are checkpointed up to their last record."""
+    frames = t.records.select(F.col("range_id").alias("log_id"), F.col("event_id").alias("lsn"), F.length("props").alias("payload_bytes"))
+    sealed = t.segments.filter("state = 'Sealed'").select("range_id", "segment_id")
+    marks = t.records.join(sealed, ["range_id", "segment_id"]).groupBy("range_id").agg(F.max("event_id").alias("checkpoint_lsn"))
+    durable = t.records.agg(F.max("event_id")).first()[0]
+    return lifecycle.wal_files(frames, lifecycle.reclaim_watermark(marks, durable or 0, None), 1 << 12)
+
+
 @query(sql("SELECT range_id, lo AS keyspace_start FROM ranges", "ranges"))
 def o3_active_ranges_sorted(t):
     return t.ranges.filter("state = 'Active'").orderBy("keyspace_start").select("range_id", F.lower(F.hex("keyspace_start")).alias("keyspace_start"))

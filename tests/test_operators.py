@@ -159,6 +159,38 @@ def test_torn_tail(spark):
     assert [(r.file, r.lsn) for r in found.collect()] == [(0, 0)]
 
 
+def test_wal_files_rotate_and_go(spark):
+    rows = [(0, lsn, 33) for lsn in (1, 1, 2, 3, 4, 5)] + [(1, 7, 83), (2, 1, 10)]  # with their headers 50 bytes each, 100, 27
+    mark = lambda n: spark.createDataFrame([(n,)], "watermark long")
+    frames = spark.createDataFrame(rows, "log_id long, lsn long, payload_bytes long")
+    found = lifecycle.wal_files(frames, mark(7), 100).orderBy("log_id", "file").collect()
+    assert [tuple(r) for r in found] == [(0, 0, 2, 100, 1, 1, True), (0, 1, 2, 100, 2, 3, True), (0, 2, 2, 100, 4, 5, True), (1, 0, 1, 100, 7, 7, True), (2, 0, 1, 27, 1, 1, False)]
+    found = lifecycle.wal_files(frames, mark(3), 100).filter("reclaimed").orderBy("file").collect()
+    assert [(r.log_id, r.file) for r in found] == [(0, 0), (0, 1)]
+
+
+def test_wal_files_of_the_whole_log(spark):
+    from rangeweave.plans import catalog
+    from rangeweave.sources.fixtures import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    records, state = t.records.orderBy("event_id").collect(), {(s.range_id, s.segment_id): s.state for s in t.segments.collect()}
+    last, files = {}, {}
+    for r in records:
+        if state[r.range_id, r.segment_id] == "Sealed":
+            last[r.range_id] = r.event_id
+        logs = files.setdefault(r.range_id, [[0, 0, None, None]])
+        if logs[-1][1] >= 1 << 12:
+            logs.append([0, 0, None, None])
+        now = logs[-1]
+        now[:] = [now[0] + 1, now[1] + len(r.props) + 17, r.event_id if now[2] is None else now[2], r.event_id]
+    mark = min(last.values())
+    want = {(k, i, *f, f[1] >= 1 << 12 and f[3] <= mark) for k, logs in files.items() for i, f in enumerate(logs)}
+    got = [tuple(r) for r in catalog.queries()["s13_wal_files"](spark, "/root/testdata/sf0.001").collect()]
+    assert len(got) == len(want) and set(got) == want and sum(g[2] for g in got) == len(records)
+    assert len({g[6] for g in got}) == 2
+
+
 def test_segments_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([(r, s, e, 1) for r in range(2) for s in range(2) for e in range(s * 4, s * 4 + 4)], "range_id long, segment_id long, entry_id long, record_count long")
     log.write_segments(rows, str(tmp_path / "log"))
