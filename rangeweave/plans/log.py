@@ -270,6 +270,20 @@ def s11_segment_files(t):
     return back.filter("range_id = 2 and segment_id >= 3").groupBy("range_id", "segment_id").agg(F.count(F.lit(1)).alias("entries"), F.min("entry_id").alias("first_entry"))
 
 
+@query(sql("SELECT range_id, segment_id, count(*) AS entries, sum(record_count)::BIGINT AS records, sum(payload_bytes)::BIGINT AS bytes, min(entry_id) AS first_entry, max(entry_id) AS last_entry FROM entries GROUP BY range_id, segment_id", "entries"))
+def s11_all_segment_files(t):
+    """Every segment of every range, written and read back."""
+    from rangeweave.sources.scratch import folder
+
+    path = folder(t.spark, "segments")
+    log.write_segments(t.entries.select("range_id", "segment_id", "entry_id", "record_count", "payload_bytes"), path)
+    back = t.spark.read.schema("entry_id long, record_count long, payload_bytes long, range_id long, segment_id long").parquet(path)
+    total = lambda k, name: F.sum(k).alias(name)
+    return back.groupBy("range_id", "segment_id").agg(
+        F.count(F.lit(1)).alias("entries"), total("record_count", "records"), total("payload_bytes", "bytes"), F.min("entry_id").alias("first_entry"), F.max("entry_id").alias("last_entry")
+    )
+
+
 @query(sql("SELECT event_id, k AS key_hex, event_type AS value FROM records WHERE range_id <> 1 AND absolute_offset < 40", "records"))
 def s19_consume_command(t):
     """What ``consume --start earliest --count`` and ``--pause`` show, for each range."""

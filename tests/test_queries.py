@@ -34,6 +34,12 @@ def test_query(spark, duck, rows, name):
     assert rows(got, sorted(columns)) == rows(want, sorted(columns))
 
 
+def test_all_segment_files_are_read_back(spark):
+    found = QUERIES["s11_all_segment_files"](spark, DIR).collect()
+    assert {r.range_id for r in found} == {r.range_id for r in QUERIES["r1_segment_rolls"](spark, DIR).select("range_id").distinct().collect()}
+    assert min(r.segment_id for r in found) == 0
+
+
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
 
