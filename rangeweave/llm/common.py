@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -15,9 +17,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a local one only where that is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("rangeweave.scratch", "")
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a local one only for a local master without it."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("rangeweave.scratch", "")
     if not found:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='rangeweave-')}"
         spark.conf.set("rangeweave.scratch", found)
     return found.rstrip("/")
@@ -48,14 +53,27 @@ def drop_written(df: DataFrame) -> None:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of steps that are written: they go when the driver collects their plans."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def small(df: DataFrame, most: int = 200_000) -> DataFrame:
     """``df`` to broadcast if it proves to have at most ``most`` rows; else as it is, for a join that Spark deals out."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
-    """Arrow batches of at most ``most`` bytes from now on: texts differ in length, and 10,000 rows may be gigabytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+@contextlib.contextmanager
+def bounded_batches(spark: SparkSession, most: int = 8 << 20):
+    """Arrow batches of at most ``most`` bytes while a table is made: texts differ in length, and 10,000 rows may be gigabytes."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 def partitions(spark: SparkSession) -> int:

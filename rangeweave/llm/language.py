@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, small
+from .common import bounded_batches, small, written
 
 ORDERS = (1, 2, 3)
 OFFSETS = (0, 1 << 8, (1 << 8) + (1 << 16))
@@ -144,7 +144,7 @@ def identify(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colu
                     scores.append(s)
             yield pa.record_batch([batch.column(0), *batch.columns[2:], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["id", *keep, "lang_pred", "score"])
 
-    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("binary").alias("t"), *keep)
     fields = [f"id {rows.schema['id'].dataType.simpleString()}", *[f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keep]]
-    return rows.mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double"]))
+    with bounded_batches(docs.sparkSession):
+        return written(rows.mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double"])), "languages")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, written
 
 PASSAGE, PAIRS = 1024, 512
 FEATURES = 256 + PAIRS + 2
@@ -148,6 +148,6 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
                 found.append(model.score(held))
             yield pa.record_batch([batch.column(0), pa.array(np.concatenate(found) if found else np.zeros(0))], names=["id", "score"])
 
-    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).cast("binary").alias("t"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double")
+    with bounded_batches(docs.sparkSession):
+        return written(rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double"), "qualities")

@@ -413,8 +413,12 @@ def _cut(batches):
 
 def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", texts: bool = False) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) for each row; ``texts`` adds the bytes that are left."""
+    with bounded_batches(docs.sparkSession):
+        return _dedup(docs, id_column, text_column, texts)
+
+
+def _dedup(docs: DataFrame, id_column: str, text_column: str, texts: bool) -> DataFrame:
     spark = docs.sparkSession
-    bounded_batches(spark)
     n = partitions(spark)
     buckets = 4 * n
     text = F.coalesce(F.col(text_column), F.lit("")).cast("binary")
@@ -436,7 +440,7 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     covers = covers.groupBy("o", "th").agg(F.collect_list("data").alias("covers"))
     done = held.select("o", "th", "t").join(covers, ["o", "th"]).select("o", "th", "t", "covers")
     done = done.mapInArrow(_cut, "o long, th long, n_removed long, n_spans long, kept binary, kept_sha256 string")
-    done = done if texts else done.drop("kept")
+    done = written(done if texts else done.drop("kept"), "repeats-done")
     result = info.join(done, ["o", "th"], "left").join(copies, ["o", "th"], "left")
     empty = hashlib.sha256(b"").hexdigest()
     columns = [

@@ -58,7 +58,6 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             found = [fingerprint(x.as_py() if x.is_valid else None, shingle) for x in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], names=["id", "fp"])
 
-    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("binary").alias("t"))
     return rows.mapInArrow(run, "id long, fp long")
 
@@ -214,7 +213,8 @@ def near_duplicates(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 4, budget: int = 4
 ) -> DataFrame:
     """(id, fp, component): the component is the smallest id reachable over links, the row's own included."""
-    prints = written(fingerprints(docs, id_column, text_column, shingle), "simhash")
+    with bounded_batches(docs.sparkSession):
+        prints = written(fingerprints(docs, id_column, text_column, shingle), "simhash")
     classes = written(prints.filter("id is not null").groupBy("fp").agg(F.min("id").alias("node")), "simhash-classes")
     linked = components(links(classes, budget), "simhash-links")
     label = classes.join(linked, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
