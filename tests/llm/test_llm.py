@@ -8,11 +8,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from rangeweave.llm import decontaminate, embeddings, language, mixing, perplexity, pii, quality, queries, repeats, simhash, warc
+from rangeweave.llm import decontaminate, embeddings, language, mixing, perplexity, pii, quality, queries, repeats, seating, simhash, warc
 from rangeweave.llm.common import components
 
 DIR = "/root/testdata/sf0.001"
@@ -247,16 +248,152 @@ def test_base_scores_and_perplexity(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_predictive_probabilities_add_up(spark):
-    """Over all training words and the unknown one, after one context."""
-    rows = [(i, " ".join(random.Random(i).choice("abcdefgh") for _ in range(30))) for i in range(60)]
-    probe = [(1000 + k, w) for k, w in enumerate([*"abcdefgh", "unknown", ""])]
-    train = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 10]
-    probe = [(next(j for j in range(10**4 * (k + 1), 10**6) if zlib.crc32(str(j).encode()) % 10 == 0), t) for k, (_, t) in enumerate(probe)]
-    found = {r.id: r.score for r in perplexity.scores(spark.createDataFrame(rows + probe, "doc_id long, text string")).collect()}
-    assert train
-    # P(first word) * P(end | first word): the end's share differs by word, so compare with the empty text for order only
-    assert all(found[i] < 0 for i, _ in probe)
+def test_table_numbers_by_seating_all_ways():
+    """The conditional of a dish's tables against the sum over all set partitions of its customers."""
+
+    def ways(n):
+        for p in ways(n - 1) if n else [[]]:
+            if n:
+                yield from (p[:i] + [p[i] + 1] + p[i + 1 :] for i in range(len(p)))
+                yield p + [1]
+            else:
+                yield []
+
+    strength, others, u = 1.0, 3, (np.arange(40000) + 0.5) / 40000
+    for c, d, p in ((2, 0.6, 0.2), (6, 0.6, 0.2), (7, 0.9, 0.01), (5, 0.1, 0.9)):
+        want = np.zeros(c + 1)
+        for tables in ways(c):
+            want[len(tables)] += math.prod(k - d for n in tables for k in range(1, n)) * math.prod((strength + d * (others + i)) * p for i in range(len(tables)))
+        got = seating.draw(np.full(len(u), c), np.full(len(u), others), strength, d, np.full(len(u), p), u)
+        assert np.abs(np.bincount(got, minlength=c + 1) / len(u) - want / want.sum()).max() < 1e-4
+
+
+def test_table_numbers_of_frequent_dishes():
+    """Above the exact numbers, against the recursion."""
+    c, u = 3000, (np.arange(20000) + 0.5) / 20000
+    for d, p, others in ((0.3, 1e-3, 50), (0.8, 0.1, 1000), (0.9, 0.1, 1000), (0.8, 0.3, 30000)):
+        row, t = np.full(c + 2, -np.inf), np.arange(c + 2.0)
+        row[1] = 0
+        for n in range(1, c):
+            stay = row + np.log(np.maximum(n - t * d, 1e-300))
+            row[1:] = np.logaddexp(row[:-1], stay[1:])
+        w = row[1 : c + 1] + np.cumsum(np.log((1.0 + d * (others + np.arange(c))) * p))
+        w = np.exp(w - w.max())
+        mean = (w * np.arange(1, c + 1)).sum() / w.sum()
+        spread = np.sqrt((w * (np.arange(1, c + 1) - mean) ** 2).sum() / w.sum())
+        got = seating.draw(np.full(len(u), c), np.full(len(u), others), 1.0, d, np.full(len(u), p), u)
+        assert abs(got.mean() - mean) < 0.02 * mean and abs(got.std() - spread) < 0.05 * spread + 0.02
+
+
+def test_sweeps_of_one_restaurant_reach_its_posterior():
+    """Dish by dish draws against the exact posterior of the table numbers of a small restaurant."""
+    c, d, strength, p = np.array([4, 3, 2]), 0.5, 1.0, np.array([0.5, 0.3, 0.2])
+    stirling = {(1, 1): 1.0}
+    for n in range(1, 4):
+        for t in range(1, n + 2):
+            stirling[n + 1, t] = stirling.get((n, t - 1), 0) + (n - t * d) * stirling.get((n, t), 0)
+    joint = {}
+    for a in range(1, 5):
+        for b in range(1, 4):
+            for e in range(1, 3):
+                w = stirling[4, a] * stirling[3, b] * stirling[2, e] * p[0] ** a * p[1] ** b * p[2] ** e
+                joint[a, b, e] = w * math.prod(strength + d * i for i in range(1, a + b + e))
+    whole = sum(joint.values())
+    want = [sum(k[i] * w for k, w in joint.items()) / whole for i in range(3)]
+    rng, t, seen = np.random.default_rng(3), np.ones(3, np.int64), np.zeros(3)
+    chains = np.ones((3, 4000), np.int64)
+    for sweep in range(30):
+        for i in range(3):
+            others = chains.sum(axis=0) - chains[i]
+            chains[i] = seating.draw(np.full(4000, c[i]), others, strength, d, np.full(4000, p[i]), rng.random(4000))
+        if sweep >= 10:
+            seen += chains.mean(axis=1) / 20
+    assert np.abs(seen - want).max() < 0.02
+
+
+def small_model(rows, buckets=3, hot_words=()):
+    """The operator's steps on the driver: buckets, chains after the last sweep, totals, what is shared."""
+    hot = np.array(sorted({perplexity.END, *[xxhash.xxh64_intdigest(w) for w in hot_words]}), np.uint64)
+    docs = [(t.encode(), i, zlib.crc32(str(i).encode()) % 10 != 0, i, True) for i, t in rows]
+    messages, _ = perplexity.asked(docs, 0, buckets, hot)
+    return {b: perplexity.Bucket([(m[1], m[3]) for m in messages if m[0] == b and m[2] == perplexity.ASK], hot) for b in {m[0] for m in messages if m[2] == perplexity.ASK}}
+
+
+def test_counts_of_buckets():
+    rows = [(i, "A b a  B\n" * (i % 4) + "c") for i in range(50)]
+    want = collections.Counter()
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 10:
+            w = [*t.lower().split(), "\n"]
+            want.update((xxhash.xxh64_intdigest(y), perplexity.BEGIN if x is None else xxhash.xxh64_intdigest(x) & (1 << 40) - 1) for x, y in zip([None, *w], w))
+    for hot in ((), (b"a",)):
+        got = collections.Counter()
+        for b in small_model(rows, 3, hot).values():
+            for w, u, c in zip(b.digest[b.word], b.name[b.u], b.c):
+                got[int(w), int(u)] += int(c)
+        assert +got == want
+
+
+def test_probabilities_add_up_after_each_word(spark, monkeypatch):
+    """Over all training words, the end and one unknown word, in a restaurant of its own, a class's, and the beginning's."""
+    random.seed(4)
+    words = "abcdefgh"
+    rows = [(i, " ".join(random.choice(words[: 1 + i % 8]) for _ in range(30)) + (" rare" if i == 1 else "")) for i in range(60)]
+    held = [j for j in range(1000, 3000) if zlib.crc32(str(j).encode()) % 10 == 0]
+    found = []
+    plain = perplexity.scored
+    # each pair once, by texts of two words: P(x) P(y | x) P(end | y); the chain's own probabilities are compared
+    probe = [f"{x} {y}" for x in (*words, "rare", "strange") for y in (*words, "rare", "strange", "")]
+
+    def spy(b, own, states, shared, totals):
+        chain = perplexity.Chain(b, own, shared)
+        chain.restore(states[len(totals) - 1])
+        chain.settle(totals[-1])
+        for w, u, p in zip(b.digest[b.word], b.name[b.u], chain.probability(len(totals) - 1)):
+            found.append((int(w), int(u), float(p)))
+        return plain(b, own, states, shared, totals)
+
+    df = spark.createDataFrame(rows + list(zip(held, probe)), "doc_id long, text string")
+    steps = perplexity.steps(df)
+    for left, right in steps.pairs():
+        b = perplexity.Bucket(perplexity._messages(left), steps.hot)
+        spy(b, *perplexity._own(right), steps.shared, steps.totals)
+    by = collections.defaultdict(dict)
+    for w, u, p in found:
+        by[u][w] = p
+    vocabulary = {xxhash.xxh64_intdigest(x.encode()) for x in (*words, "rare", "strange")} | {perplexity.END}
+    name = lambda x: xxhash.xxh64_intdigest(x.encode()) & (1 << 40) - 1
+    for x in (*words, "rare", "strange"):
+        assert set(by[name(x)]) == vocabulary and abs(sum(by[name(x)].values()) - 1) < 1e-9
+
+
+def test_scores_do_not_depend_on_partitions(spark, docs):
+    want = {r.id: (r.score, r.n_known) for r in perplexity.scores(docs).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "11")
+    try:
+        got = {r.id: (r.score, r.n_known) for r in perplexity.scores(docs.repartition(5)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got.keys() == want.keys() and all(abs(got[i][0] - s) < 1e-6 and got[i][1] == n for i, (s, n) in want.items())
+
+
+def test_long_texts_go_on_in_pieces(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{(i * j) % 13}" for j in range(400))) for i in range(30)] + [(77, " " * 900 + "w1 w2" + " " * 900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want = {r.id: r for r in perplexity.scores(df).collect()}
+    docs = [(t.encode(), i, True, i, True) for i, t in rows]
+    whole, _ = perplexity.asked(docs, 0, 1, np.array([perplexity.END], np.uint64))
+    monkeypatch.setattr(perplexity, "CHUNK", 300)
+    cut, before = [], b""
+    batch = pa.record_batch([pa.array([d[1] for d in docs]), pa.array([True] * len(docs)), pa.array([d[0] for d in docs])], names=["id", "train", "t"])
+    for n, chunk in enumerate(perplexity._chunks([batch])):
+        rows_, before = perplexity.asked(chunk, n, 1, np.array([perplexity.END], np.uint64), before)
+        cut += rows_
+    counts = []
+    for messages in (whole, cut):
+        b = perplexity.Bucket([(m[1], m[3]) for m in messages if m[2] == perplexity.ASK], np.array([perplexity.END], np.uint64))
+        counts.append({(int(w), int(u)): int(c) for w, u, c in zip(b.digest[b.word], b.name[b.u], b.c)})
+    assert counts[0] == counts[1] and want[77].n_tokens == 3
 
 
 def test_a_table_united_with_itself_keeps_all_rows(spark):
