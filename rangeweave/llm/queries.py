@@ -42,7 +42,11 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     counts = [count(k) for k in KINDS]
     return found.select(
-        F.col("id").alias("doc_id"), *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans")
+        F.col("id").alias("doc_id"),
+        *counts,
+        F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
     )
 
 

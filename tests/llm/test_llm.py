@@ -179,6 +179,47 @@ def test_patterns_find_unseen_identifiers(spark):
     assert got[101] == []
 
 
+def test_discovery_is_measured(spark):
+    """Planted numbers that no base expression knows, in prose: recall and precision, with frequent words as tempting patterns."""
+    rng = random.Random(11)
+    prose = lambda n: " ".join(rng.choice("the of and paid 1234567 house 20231105 is on room 443322 old".split()) for _ in range(n))
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    rows, planted = [], {}
+    for i in range(400):
+        text = prose(rng.randint(5, 60))
+        if i % 4 == 0:
+            text += f" call me: +{digits(1)} ({digits(3)}) {digits(3)}-{digits(4)} soon "
+        elif i % 4 == 1:
+            text += " call me: "
+            number = f"0{digits(2)} {digits(4)}-{digits(3)}"
+            planted[i] = (len(text), len(text) + len(number))
+            text += number + " soon "
+        elif i % 4 == 2:
+            text += f" the +{digits(1)} ({digits(3)}) {digits(3)}-{digits(4)} "
+        rows.append((i, text + prose(5)))
+    found = {r.id: {(s.start, s.end) for s in r.spans if not s.base} for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    right = sum(planted[i] in found[i] for i in planted)
+    assert right >= 0.95 * len(planted) and sum(map(len, found.values())) <= 1.05 * right
+
+
+def test_secrets_found_by_what_stands_before(spark):
+    digest = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    rows = [(i, f'some prose {i} token = "{digest(i)}" and more') for i in range(12)]
+    rows += [(50, f'other prose TOKEN = "{digest(50).upper()}"!! end'), (51, f'number {digest(51).upper()} of a part')]
+    got = {r.id: [(s.kind, s.base, rows_text[s.start : s.end]) for s in r.spans] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect() for rows_text in [dict(rows)[r.id]]}
+    assert got[3] == [("secret", False, digest(3))] and got[50] == [("secret", False, digest(50).upper())] and got[51] == []
+
+
+def test_added_spans_do_not_overlap(spark):
+    """Against the plain rule: base spans stay, added ones overlap none of them and none that begins before."""
+    found = pii.find(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
+    for r in found:
+        spans = sorted((s.start, s.end, s.base) for s in r.spans)
+        for a, b in zip(spans, spans[1:]):
+            assert a[1] <= b[0] or (a[2] and b[2])
+    assert any(not s.base for r in found for s in r.spans)
+
+
 def test_pii_edges(edge, empty):
     found = collections.Counter((r.id, len(r.spans)) for r in pii.find(edge).collect())
     assert found[(None, 2)] == 1 and found[(3, 0)] == 2 and sum(found.values()) == len(EDGE)
