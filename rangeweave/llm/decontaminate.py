@@ -3,11 +3,12 @@
 Every ``width`` consecutive words of a benchmark item make a window (an item of fewer words is
 one window). Documents are split into words, every position's window hash is probed in the
 broadcast set, and hits are verified on the words themselves. The set is broadcast only after
-its bytes have been summed and found to be at most ``SET_BYTES``; a larger one is joined by
-shuffle, where Spark splits frequent windows.
+its bytes have been summed and found to be at most ``SET_BYTES``. A larger one is joined by shuffle on
+positions and hashes alone, where Spark splits frequent windows; hits then meet their text's words once for
+the check. Items are joined to a document's distinct windows at the end, so none is carried by a hit.
 
 Defined results: null and wordless texts have no words, no hits and no items. Items that are
-null or wordless have no windows; rows of one item_id are one item. Rows repeated in full
+null or wordless have no windows; rows of one item_id are one item, null being an id of its own. Rows repeated in full
 come out repeated; rows of one id with different texts are judged apart. Empty tables give empty
 results, or no hits. Only id and text are read, so other columns cannot clash.
 """
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, written
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words in a text that isn't lower-cased.
@@ -48,14 +49,41 @@ def _mark(k):
 
 
 def windows(benchmark: DataFrame, width: int = 8, id_column: str = "item_id", text_column: str = "text") -> DataFrame:
-    """(wh, width, window, items): each distinct window, its hash and the items that hold it."""
+    """(wh, width, window, item): each distinct window of each item, with its hash."""
     rows = benchmark.select(F.col(id_column).alias("item"), words(F.col(text_column)).alias("w")).filter(F.size("w") > 0)
     n = F.least(F.size("w"), F.lit(width))
     rows = rows.select("item", "w", n.alias("width"), F.explode(F.sequence(F.lit(0), F.size("w") - n)).alias("at"))
     rows = rows.select("item", "width", F.slice("w", F.col("at") + 1, F.col("width")).alias("w"))
     hashes = F.transform("w", lambda w: F.xxhash64(w))
     wh = F.coalesce(*[F.when(F.col("width") == k, _hash(hashes, F.lit(0), k)) for k in range(1, width + 1)])
-    return rows.groupBy(wh.alias("wh"), "width", F.array_join("w", " ").alias("window")).agg(F.collect_set("item").alias("items"))
+    return rows.select(wh.alias("wh"), "width", F.array_join("w", " ").alias("window"), "item").distinct()
+
+
+def _probed(base: DataFrame, table: DataFrame, every) -> DataFrame:
+    """(id, text_hash, n_words, pos, width, wid) by a broadcast ``table``: words are checked where they stand."""
+    marks = base.sparkSession.range(MARKS).select(
+        _mark(F.col("id")).alias("wh"), F.lit(0).alias("width"), F.lit("").alias("window"), F.lit(None).cast("long").alias("wid")
+    )
+    mark = F.array(F.struct(F.lit(-1).alias("pos"), _mark(F.pmod(F.xxhash64("id", "text_hash"), F.lit(MARKS))).alias("wh")))
+    rows = base.select("id", "text_hash", "w", F.explode(F.concat(mark, *every)).alias("at"))
+    rows = rows.select("id", "text_hash", "w", F.col("at.pos").alias("pos"), F.col("at.wh").alias("dwh"))
+    seen = F.when(F.col("pos") < 0, F.lit("")).otherwise(F.array_join(F.slice("w", F.greatest(F.col("pos"), F.lit(0)) + 1, F.col("width")), " "))
+    table = F.broadcast(table.unionByName(marks))
+    hits = rows.join(table, (F.col("dwh") == F.col("wh")) & ((F.col("pos") < 0) == (F.col("width") == 0))).filter(seen == F.col("window"))
+    return hits.select("id", "text_hash", F.size("w").alias("n_words"), "pos", "width", "wid")
+
+
+def _joined(base: DataFrame, table: DataFrame, every) -> DataFrame:
+    """The same rows by joins: no exploded row carries the words, and each text meets its own hits once."""
+    nothing = F.array().cast("array<struct<pos:int,wh:bigint>>")
+    rows = base.select("id", "text_hash", F.explode(F.concat(nothing, *every)).alias("at")).select("id", "text_hash", F.col("at.pos").alias("pos"), F.col("at.wh").alias("wh"))
+    hits = rows.join(table, "wh").distinct().select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), "pos", "width", "window", "wid")
+    once = base.select("id", "text_hash", "w").groupBy("id", "text_hash").agg(F.first("w").alias("w"))
+    hits = once.join(hits, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
+    hits = hits.filter(F.array_join(F.slice("w", F.col("pos") + 1, F.col("width")), " ") == F.col("window"))
+    hits = hits.select("id", "text_hash", F.size("w").alias("n_words"), "pos", "width", "wid")
+    own = base.select("id", "text_hash", F.size("w").alias("n_words"), F.lit(-1).alias("pos"), F.lit(0).alias("width"), F.lit(None).cast("long").alias("wid"))
+    return hits.unionByName(own)
 
 
 def overlaps(
@@ -67,31 +95,29 @@ def overlaps(
     item_column: str = "item_id",
 ) -> DataFrame:
     """(id, text_hash, n_words, hits, items): hits are (pos, width) of windows, items the distinct items hit, for each row."""
-    found = windows(benchmark, width, item_column, text_column)
-    sizes = found.groupBy("width").agg(F.sum(F.octet_length("window") + 16 * F.size("items") + 96).alias("bytes")).collect()
-    marks = docs.sparkSession.range(MARKS).select(
-        _mark(F.col("id")).alias("wh"), F.lit(0).alias("width"), F.lit("").alias("window"), F.lit(None).cast(found.schema["items"].dataType).alias("items")
-    )
-    table = found.unionByName(marks)
-    if sum(r["bytes"] for r in sizes) <= SET_BYTES:
-        table = F.broadcast(table)
+    held = windows(benchmark, width, item_column, text_column)
+    table = held.select("wh", "width", "window").distinct().withColumn("wid", F.monotonically_increasing_id())
+    table = written(table, "benchmark-windows")
+    sizes = table.groupBy("width").agg(F.sum(F.octet_length("window") + 96).alias("bytes")).collect()
     text_hash = F.xxhash64(text_column)
-    rows = docs.select(F.col(id_column).alias("id"), text_hash.alias("text_hash"), words(F.col(text_column)).alias("w"))
-    rows = rows.withColumn("hs", F.transform("w", lambda w: F.xxhash64(w)))
-    mark = F.array(F.struct(F.lit(-1).alias("pos"), _mark(F.pmod(F.xxhash64("id", "text_hash"), F.lit(MARKS))).alias("wh")))
-    every = F.concat(mark, *[_windows(F.col("hs"), k) for k in sorted(r["width"] for r in sizes)])
-    rows = rows.select("id", "text_hash", "w", F.explode(every).alias("at"))
-    rows = rows.select("id", "text_hash", "w", F.col("at.pos").alias("pos"), F.col("at.wh").alias("dwh"))
-    seen = F.when(F.col("pos") < 0, F.lit("")).otherwise(F.array_join(F.slice("w", F.greatest(F.col("pos"), F.lit(0)) + 1, F.col("width")), " "))
-    hits = rows.join(table, (F.col("dwh") == F.col("wh")) & ((F.col("pos") < 0) == (F.col("width") == 0))).filter(seen == F.col("window"))
-    hits = hits.select("id", "text_hash", F.size("w").alias("n_words"), "pos", "width", "items")
+    base = docs.select(F.col(id_column).alias("id"), text_hash.alias("text_hash"), words(F.col(text_column)).alias("w"))
+    base = base.withColumn("hs", F.transform("w", lambda w: F.xxhash64(w)))
+    every = [_windows(F.col("hs"), k) for k in sorted(r["width"] for r in sizes)]
+    hits = (_probed if sum(r["bytes"] for r in sizes) <= SET_BYTES else _joined)(base, table, every)
     grouped = hits.groupBy("id", "text_hash").agg(
         F.max("n_words").cast("long").alias("n_words"),
         F.count_if(F.col("pos") < 0).alias("_rows"),
         F.array_sort(F.collect_set(F.when(F.col("pos") >= 0, F.struct("pos", "width")))).alias("hits"),
-        F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
+        F.collect_set("wid").alias("wids"),
     )
-    return grouped.withColumn("_r", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_rows")))).drop("_r", "_rows")
+    grouped = written(grouped, "benchmark-hits")
+    # items of each document's distinct windows; a null id is wrapped, for sets leave nulls out
+    owners = held.join(table, ["wh", "width", "window"]).select("wid", F.struct("item").alias("item"))
+    found = grouped.select("id", "text_hash", F.explode("wids").alias("wid")).join(owners, "wid").groupBy("id", "text_hash").agg(F.collect_set("item").alias("found"))
+    found = found.select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.transform("found", lambda x: x["item"]).alias("found"))
+    grouped = grouped.join(found, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
+    items = F.coalesce("found", F.array().cast(found.schema["found"].dataType)).alias("items")
+    return grouped.select("id", "text_hash", "n_words", "hits", items, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_rows"))).alias("_r")).drop("_r")
 
 
 def hit_words(hits):

@@ -10,7 +10,9 @@ buckets are cut into cells.
 
 Defined results: a vector that is null, empty, zero, or holds null or non-finite components links
 with nothing, and neither does a row with a null id (its component is null). Vectors of different
-lengths never link. Rows repeated in full are vectors of their own: they link with each other.
+lengths never link. Rows repeated in full are vectors of their own: they link with each other. Vectors of
+one id are counted apart, each by its own links. Vectors are scaled by powers of two, so huge and tiny
+components neither overflow nor vanish.
 An empty table gives an empty result. Only id and embedding are read.
 """
 
@@ -78,7 +80,9 @@ def signatures(x: np.ndarray, k: int, tables: int, seed: int = 7) -> np.ndarray:
 
 
 def _matrix(column, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
+    """Rows in double precision, each scaled by a power of two, which changes no cosine and keeps squares in range."""
+    x = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
 
 
 def _normal(x: np.ndarray) -> np.ndarray:
@@ -209,17 +213,18 @@ def near_duplicates(
     fit = F.col(id_column).isNotNull() & (F.size(v) > 0) & F.forall(v, finite) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.when(F.coalesce(fit, F.lit(False)), v).alias("v"))
     rows = written(rows.withColumn("h", F.xxhash64("v")), "vectors")
-    classes = written(
-        rows.filter("v is not null").groupBy("h", "v").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n")), "vector-classes"
-    )
+    classes = rows.filter("v is not null").groupBy("h", "v").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
+    # a number of its own for each distinct vector: one id may hold several
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "vector-classes")
     k, tables = design(classes.count(), threshold, recall)
     found = written(links(hashed(classes, k, tables), k, tables, threshold), "vector-links")
     gains = found.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("gain").alias("gain"))
     reach = components(found.filter("b is not null").select("a", "b"), "vector-components")
+    reach = written(reach.join(classes.select("node", "least"), "node"), "vector-reach")
+    first = reach.groupBy("component").agg(F.min("least").alias("first"))
+    reach = reach.join(first, "component").select("node", "first")
     label = classes.join(gains, "node", "left").join(reach, "node", "left")
-    label = label.select(
-        "h", "v", (F.col("n") - 1 + F.coalesce("gain", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component")
-    )
+    label = label.select("h", "v", (F.col("n") - 1 + F.coalesce("gain", F.lit(0))).alias("n_links"), F.coalesce("first", "least").alias("component"))
     return rows.join(label, ["h", "v"], "left").select(
         "id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component", "id").alias("component")
     )

@@ -267,6 +267,18 @@ def test_a_large_set_is_not_broadcast(spark, monkeypatch):
     assert found == {1: (10, 2), 2: (1, 0)}
 
 
+@pytest.mark.parametrize("most", [48 << 20, 0])
+def test_windows_of_a_long_text_and_a_null_item(spark, monkeypatch, most):
+    """10^5 words in both paths; an item whose id is null counts and has no name."""
+    monkeypatch.setattr(decontaminate, "SET_BYTES", most)
+    bench = spark.createDataFrame([(1, "a b c d e f g h i"), (None, "a b c d e f g h"), (2, "x y")], "item_id long, text string")
+    long = "p q r s t u v w " * 6000
+    rows = [(1, long + "a b c d e f g h i " + long), (2, "a b c d e f g"), (None, "x y"), (None, "x y"), (3, None)]
+    found = decontaminate.overlaps(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    got = sorted(((r.id or 0), r.n_words, int(sum(1 for _ in r.hits)), sorted((x or 0) for x in r["items"])) for r in found)
+    assert got == [(0, 2, 1, [2]), (0, 2, 1, [2]), (1, 96009, 2, [0, 1]), (2, 7, 0, []), (3, 0, 0, [])]
+
+
 # 5 language model
 
 
@@ -498,6 +510,31 @@ def test_links_by_brute_force(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_recall_near_the_threshold_by_many_tables(spark):
+    """Planted pairs of cosine 0.9 to 0.93 in 64 dimensions, against brute force, by the tables that the design asks for."""
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((6000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    other = rng.standard_normal((1500, 64))
+    other -= (other * base[:1500]).sum(axis=1, keepdims=True) * base[:1500]
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    c = rng.uniform(0.9, 0.93, (1500, 1))
+    x = np.concatenate([base, c * base[:1500] + np.sqrt(1 - c * c) * other])
+    assert embeddings.design(len(x), 0.9)[1] >= 12
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    found = {r.id: r for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    linked = (x @ x.T) / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(x, axis=1)) >= 0.9
+    want = linked.sum(axis=1) - 1
+    got = np.array([found[i].n_links for i in range(len(x))])
+    assert (got <= want).all() and got.sum() >= 0.99 * want.sum()
+
+
+def test_extreme_vectors_and_shared_ids(spark):
+    rows = [(1, [1e200, 0.0]), (2, [1e200, 1e198]), (3, [0.0, 1e-200]), (4, [0.0, 2e-200]), (5, [1.0, 1.0]), (5, [-1.0, 1.0]), (6, [1.0, 1.01]), (7, [5e-324, -5e-324])]
+    found = collections.Counter((r.id, r.n_links, r.component) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert found == collections.Counter([(1, 1, 1), (2, 1, 1), (3, 1, 3), (4, 1, 3), (5, 1, 5), (5, 0, 5), (6, 1, 5), (7, 0, 7)])
+
+
 def test_large_buckets_are_cut(spark, monkeypatch):
     rng = np.random.default_rng(2)
     x = np.ones(8) + 0.05 * rng.standard_normal((150, 8))
