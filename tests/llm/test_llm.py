@@ -600,13 +600,48 @@ def test_skipped_members_are_not_inflated(monkeypatch):
 
     raw = [warc.record(i, "u", b"%d" % i * 9000, "response", warc.digest_of(b"%d" % i * 9000), None) for i in range(5)]
     data = b"".join(map(warc.member, raw))
-    found = list(warc.records(io.BytesIO(data), 0, len(data), lambda h: h["WARC-Record-ID"] == "<urn:page:3>", True))
+    found = list(warc.records(io.BytesIO(data), 0, len(data), lambda h: h["record_id"] == "<urn:page:3>", True))
     assert [(r[0], r[-1]) for r in found] == [(3, b"3" * 9000)]
+    broken = data[:-60] + bytes(60)  # the last payload's bytes: nobody reads them without payloads
+    assert [r[0] for r in warc.records(io.BytesIO(broken), 0, len(broken), lambda h: True, False)] == list(range(5))
     import gzip
 
     assert gzip.decompress(data) == b"".join(raw)
 
 
+@pytest.mark.parametrize("kind", ["plain", "members", "one member"])
+def test_archives_of_other_writers(spark, tmp_path, kind):
+    """Standard records, headers in other cases and folded, of all common types."""
+    import gzip
+
+    body = b"<p>hi \r\n\r\n there</p>"
+    http = b"HTTP/1.0 200 OK\r\nServer: x\r\n\r\n" + body
+    digest = warc.digest_of(body)
+    raw = [
+        b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:1>\r\nWARC-Date: 2020-01-01T00:00:00Z\r\nContent-Type: application/warc-fields\r\nContent-Length: 7\r\n\r\na: b\r\n\n\r\n\r\n",
+        b"WARC/1.0\r\nWARC-Type: request\r\nWARC-Target-URI: http://a.example/\r\nWARC-Record-ID: <urn:uuid:2>\r\nContent-Type: application/http; msgtype=request\r\nContent-Length: 18\r\n\r\nGET / HTTP/1.0\r\n\r\n\r\n\r\n",
+        b"WARC/1.1\r\nwarc-type:response\r\nWARC-Target-URI: <http://a.example/%41?q=1>\r\nWARC-Record-ID: <urn:uuid:3>\r\nX-Note: one\r\n  two\r\nWARC-Payload-Digest: sha1:" + digest.encode() + b"\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: %d\r\n\r\n" % len(http) + http + b"\r\n\r\n",
+    ]
+    data = {"plain": b"".join(raw), "members": b"".join(map(gzip.compress, raw)), "one member": gzip.compress(b"".join(raw))}[kind]
+    (tmp_path / f"x.warc{'' if kind == 'plain' else '.gz'}").write_bytes(data)
+    warc.register(spark)
+    found = spark.read.format("warc").option("verify", "true").load(str(tmp_path))
+    got = sorted((r.record_id, r.record_type, r.url, r.payload_bytes, bytes(r.payload)) for r in found.collect())
+    want = [("<urn:uuid:1>", "warcinfo", None, 7, b"a: b\r\n\n"), ("<urn:uuid:2>", "request", "http://a.example/", 0, b""), ("<urn:uuid:3>", "response", "http://a.example/%41?q=1", len(body), body)]
+    assert got == want
+    bare = spark.read.format("warc").option("payload", "false").load(str(tmp_path)).filter("url = 'http://a.example/%41?q=1'")
+    assert [(r.payload_digest, r.payload) for r in bare.collect()] == [(digest, None)]
+    (tmp_path / "y.warc").write_bytes(raw[2][:-30])
+    with pytest.raises(Exception, match="ends inside"):
+        spark.read.format("warc").load(str(tmp_path)).collect()
+
+
+def test_headers_are_standard():
+    raw = warc.record(4, "http://a.example/ü b?x=%41", b"hi", "response", warc.digest_of(b"hi"), None, "2024-05-06T07:08:09Z").decode()
+    assert "WARC-Target-URI: http://a.example/%C3%BC%20b?x=%41\r\n" in raw and "WARC-Date: 2024-05-06T07:08:09Z\r\n" in raw
+    assert "X-Target" not in warc.record(4, "http://a.example/%20", b"", "response", "", None).decode()
+
+
 # 10 repeats
 
 
