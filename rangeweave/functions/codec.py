@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,8 +20,8 @@ def encode(records: list[tuple[bytes, bytes]], codec: int = NONE) -> bytes:
     body = b"".join(struct.pack(">I", len(k)) + k + struct.pack(">I", len(v)) + v for k, v in records)
     if codec == ZSTD:
         body = zstandard.ZstdCompressor().compress(body)
-    elif codec == LZ4:
-        raise NotImplementedError("LZ4 payloads need an LZ4 library, which isn't installed")
+    elif codec == LZ4:  # a raw block behind its size
+        body = struct.pack("<I", len(body)) + pa.Codec("lz4_raw").compress(body, asbytes=True)
     elif codec != NONE:
         raise ValueError(f"unknown codec tag {codec}")
     return bytes([codec]) + body
@@ -33,7 +34,13 @@ def decode(payload: bytes, count: int) -> list[tuple[bytes, bytes]]:
     if codec == ZSTD:
         body = zstandard.ZstdDecompressor().decompressobj().decompress(body)
     elif codec == LZ4:
-        raise NotImplementedError("LZ4 payloads need an LZ4 library, which isn't installed")
+        if len(body) < 4:
+            raise ValueError("truncated payload")
+        size = struct.unpack_from("<I", body)[0]
+        try:
+            body = pa.Codec("lz4_raw").decompress(body[4:], decompressed_size=size, asbytes=True)
+        except OSError as e:
+            raise ValueError("broken LZ4 payload") from e
     elif codec != NONE:
         raise ValueError(f"unknown codec tag {codec}")
     at, out = 0, []

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rangeweave.operators.sizes import small
+
 KEY = ["group_id", "range_id"]
 
 
@@ -24,13 +26,13 @@ def committed_offsets(log: DataFrame) -> DataFrame:
 def commit_verdicts(log: DataFrame) -> DataFrame:
     """T4: each commit is Staged, StaleEpoch, or Parked until its epoch is sealed; parked ones are staged by that seal, others wait on."""
     order = Window.partitionBy(*KEY).orderBy("lsn").rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(*KEY).orderBy("lsn").rowsBetween(0, Window.unboundedFollowing)
     seal = F.when(F.col("kind") == "Seal", F.col("generation"))
-    rows = log.withColumn("epoch", F.coalesce(F.max(seal).over(order), F.lit(0).cast("long"))).withColumn("_seals", F.collect_set(seal).over(after))
+    last = log.filter("kind = 'Seal'").groupBy(*KEY, "generation").agg(F.max("lsn").alias("_sealed"))
+    rows = log.withColumn("epoch", F.coalesce(F.max(seal).over(order), F.lit(0).cast("long"))).join(last, [*KEY, "generation"], "left")
     verdict = (
         F.when(F.col("generation") < F.col("epoch"), "StaleEpoch")
         .when(F.col("generation") == F.col("epoch"), "Staged")
-        .when(F.array_contains("_seals", F.col("generation")), "ParkedThenStaged")
+        .when(F.col("_sealed") > F.col("lsn"), "ParkedThenStaged")
         .otherwise("Parked")
     )
     return rows.filter("kind = 'Commit'").select("lsn", *KEY, "generation", verdict.alias("verdict"))
@@ -90,40 +92,74 @@ def assigned(members: DataFrame, ranges: DataFrame) -> DataFrame:
     m = members.select("group_id", "member", (F.row_number().over(Window.partitionBy("group_id").orderBy("member")) - 1).alias("_m"))
     sizes = members.groupBy("group_id").agg(F.count(F.lit(1)).alias("_n"))
     r = ranges.filter("state = 'Active'").select("range_id", (F.row_number().over(Window.orderBy("keyspace_start")) - 1).alias("_r"))
-    wanted = sizes.crossJoin(F.broadcast(r)).withColumn("_m", F.col("_r") % F.col("_n"))
+    wanted = sizes.crossJoin(small(r)).withColumn("_m", F.col("_r") % F.col("_n"))
     return wanted.join(m, ["group_id", "_m"]).select("group_id", "range_id", "member")
 
 
 def membership(commands: DataFrame, timeout: int) -> DataFrame:
-    """(group_id, seq, generation, members) after each command (group_id, seq, member, action, at).
+    """(group_id, seq, generation, members, ranges) after each command (group_id, seq, member, action, at, ranges).
 
-    Members unseen for more than ``timeout`` go first, then the action applies; the generation rises when the
-    set of members changed. One group's commands are folded in order; groups are dealt over the cluster.
+    Members unseen for more than ``timeout`` go first, then the action applies. The generation rises when the set
+    of members changed, or when the active ``ranges`` at the command aren't the ones that are assigned (none are
+    while the group is empty). One group's commands are folded in order; groups are dealt over the cluster.
     """
     from collections.abc import Iterator
 
     import pandas as pd
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, seen, generation = None, {}, 0
+        now, seen, generation, held = None, {}, 0, ()
         for frame in frames:
-            generations, sizes = [], []
-            for g, m, action, at in zip(frame.group_id, frame.member, frame.action, frame["at"], strict=True):
+            generations, members, owned = [], [], []
+            for g, m, action, at, ranges in zip(frame.group_id, frame.member, frame.action, frame["at"], frame.ranges, strict=True):
                 if g != now:
-                    now, seen, generation = g, {}, 0
-                before = set(seen)
+                    now, seen, generation, held = g, {}, 0, ()
+                before, wanted = set(seen), tuple(sorted(ranges))
                 seen = {k: t for k, t in seen.items() if max(0, at - t) <= timeout}
                 if action == "Leave":
                     seen.pop(m, None)
                 else:
                     seen[m] = at
-                generation += set(seen) != before
+                if set(seen) != before or held != wanted:
+                    generation, held = generation + 1, wanted if seen else ()
                 generations.append(generation)
-                sizes.append(",".join(sorted(seen)))
-            yield pd.DataFrame({"group_id": frame.group_id, "seq": frame.seq, "generation": generations, "members": sizes})
+                members.append(",".join(sorted(seen)))
+                owned.append(",".join(map(str, held)))
+            yield pd.DataFrame({"group_id": frame.group_id, "seq": frame.seq, "generation": generations, "members": members, "ranges": owned})
+
+    rows = commands.select("group_id", "seq", "member", "action", "at", "ranges")
+    return rows.repartition("group_id").sortWithinPartitions("group_id", "seq").mapInPandas(fold, "group_id string, seq long, generation long, members string, ranges string")
+
 
-    rows = commands.select("group_id", "seq", "member", "action", "at")
-    return rows.repartition("group_id").sortWithinPartitions("group_id", "seq").mapInPandas(fold, "group_id string, seq long, generation long, members string")
+def delivered_by(log: DataFrame, semantic: str) -> DataFrame:
+    """(seq, range_id, kind Deliver/Ack/Commit, pos) under AtLeastOnce or AtMostOnce: (range_id, delivered, committed, again).
+
+    At least once, records are acknowledged by their reader; at most once, by their delivery. A commit takes the
+    greatest acknowledged position; after a crash reading goes on behind it, so ``again`` positions come twice.
+    """
+    if semantic not in ("AtLeastOnce", "AtMostOnce"):
+        raise ValueError(f"unknown semantic {semantic}")
+    if semantic == "AtMostOnce":
+        log = log.filter("kind <> 'Ack'")
+        log = log.unionByName(log.filter("kind = 'Deliver'").withColumn("kind", F.lit("Ack")))
+        # a delivery comes before its own acknowledgement
+        log = log.withColumn("seq", F.col("seq") * 2 + (F.col("kind") == "Ack").cast("long"))
+    rows = tracked(log).groupBy("range_id").agg(F.max("delivered").alias("delivered"), F.max("committed").alias("committed"))
+    return rows.withColumn("again", F.col("delivered") - F.coalesce("committed", F.lit(-1)))
+
+
+def auto_commits(log: DataFrame, interval_ms: int) -> DataFrame:
+    """Acknowledged positions (range_id, at_ms, pos) to commits (range_id, at_ms, pos): at each tick of the interval the greatest so far, if it rose."""
+    tick = (F.floor(F.col("at_ms") / interval_ms) + 1) * interval_ms
+    best = log.groupBy("range_id", tick.alias("at_ms")).agg(F.max("pos").alias("pos"))
+    before = F.max("pos").over(Window.partitionBy("range_id").orderBy("at_ms").rowsBetween(Window.unboundedPreceding, -1))
+    return best.withColumn("_before", before).filter(F.col("_before").isNull() | (F.col("pos") > F.col("_before"))).select("range_id", "at_ms", "pos")
+
+
+def rebalances(changes: DataFrame, started_ms: int, tick_ms: int = 1000, grace: int = 2) -> DataFrame:
+    """When a consumer that started at ``started_ms`` takes up changes (member, at_ms): ticks begin at its start, the first ``grace`` only pass."""
+    tick = F.ceil((F.col("at_ms") - started_ms) / tick_ms) * tick_ms + started_ms
+    return changes.select("member", "at_ms", F.greatest(tick, F.lit(started_ms + grace * tick_ms)).cast("long").alias("taken_ms"))
 
 
 def expired_members(heartbeats: DataFrame, timeout_ms: int) -> DataFrame:

@@ -146,6 +146,19 @@ def roll_due(segments: DataFrame, now_ms: int, idle_ms: int, size_limit: int, le
     return own.withColumn("reason", reason).filter("reason is not null").select("range_id", "segment_id", "reason")
 
 
+def size_rolls(segments: DataFrame, committed: DataFrame, size_limit: int) -> DataFrame:
+    """(range_id, segment_id): active segments of at least ``size_limit`` bytes whose every entry is committed (range_id, committed)."""
+    full = segments.filter((F.col("state") == "Active") & (F.col("size_bytes") >= size_limit))
+    return full.join(committed, "range_id").filter("committed >= last_entry_id").select("range_id", "segment_id")
+
+
+def refilled(segments: DataFrame, live: DataFrame) -> DataFrame:
+    """``segments`` with the replicas of those that lost some filled up from the live nodes, as far as these go."""
+    plan = replacements(with_dead_members(segments, live), live).select("range_id", "segment_id", "new_replicas")
+    rows = segments.join(plan, ["range_id", "segment_id"], "left")
+    return rows.withColumn("replicas", F.coalesce("new_replicas", "replicas")).drop("new_replicas")
+
+
 def reclaim_watermark(checkpoints: DataFrame, durable_lsn: int, auxiliary_lsn: int | None) -> DataFrame:
     """The least checkpointed position over segments, at most the durable one, and the auxiliary mark."""
     least = F.least(F.coalesce(F.min("checkpoint_lsn"), F.lit(durable_lsn)), F.lit(durable_lsn), *([F.lit(auxiliary_lsn)] if auxiliary_lsn is not None else []))

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rangeweave.operators.sizes import small
+
 from rangeweave.functions.ring import murmur3_32, token_key
+from rangeweave.operators.prefix import numbered
 
 #: States by severity.
 SEVERITY = ("Alive", "Suspect", "Dead")
@@ -52,12 +55,18 @@ def recency_leader(reports: DataFrame) -> DataFrame:
     return reports.groupBy("range_id", "segment_id").agg(best["node_id"].alias("leader"))
 
 
-def committed_prefix(acks: DataFrame, replicas: int) -> DataFrame:
-    """(range_id, committed): entries that all ``replicas`` acknowledged, up to the first gap; ranges without any are absent."""
+def committed_prefix(acks: DataFrame, replicas: int, retained: DataFrame | None = None) -> DataFrame:
+    """(range_id, committed): entries that all ``replicas`` acknowledged, up to the first gap; ranges without any are absent.
+
+    ``retained`` (range_id, first_entry_id) tells where a range's log begins after retention; elsewhere it begins at 0.
+    """
     full = acks.groupBy("range_id", "entry_id").agg(F.count_distinct("node_id").alias("n")).filter(F.col("n") >= replicas)
-    # the full entries 0..k without a gap are those whose id equals their rank
-    order = Window.partitionBy("range_id").orderBy("entry_id")
-    ranked = full.withColumn("_rn", F.row_number().over(order) - 1).filter("_rn = entry_id")
+    if retained is None:
+        full = full.withColumn("first_entry_id", F.lit(0).cast("long"))
+    else:
+        full = full.join(small(retained), "range_id", "left").fillna(0, ["first_entry_id"]).filter("entry_id >= first_entry_id")
+    # the full entries without a gap are those whose id equals their rank from the first on
+    ranked = numbered(full, ["range_id"], "entry_id", "_rn").filter("_rn = entry_id - first_entry_id")
     return ranked.groupBy("range_id").agg(F.max("entry_id").alias("committed"))
 
 
@@ -103,13 +112,40 @@ def shard_groups(keys: DataFrame, ring: DataFrame) -> DataFrame:
     t = t.withColumn("slot", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
     h = keys.withColumn("key_hash", murmur3_32(F.col("key")))
     hit = (F.floor(F.col("key_hash") / width) == F.col("slot")) & F.col("key_hash").between(F.col("lo"), F.col("hi"))
-    return h.join(F.broadcast(t), hit).select(*keys.columns, "key_hash", "group_id")
+    return h.join(small(t), hit).select(*keys.columns, "key_hash", "group_id")
 
 
 def owners(anchors: DataFrame, ring: DataFrame, n: int, excluded: DataFrame | None = None) -> DataFrame:
-    """(group_id, pos, node_id): the first ``n`` distinct nodes clockwise from each anchor's hash, without those excluded."""
-    r = ring if excluded is None else ring.join(excluded, "node_id", "left_anti")
-    steps = F.pmod(F.col("hash") - F.col("group_id"), F.lit(2**32))
-    near = anchors.select("group_id").distinct().crossJoin(F.broadcast(r)).groupBy("group_id", "node_id").agg(F.min(F.struct(steps.alias("d"), "node_id")).alias("at"))
-    rank = F.row_number().over(Window.partitionBy("group_id").orderBy("at"))
-    return near.select("group_id", (rank - 1).alias("pos"), "node_id").filter(F.col("pos") < n)
+    """(group_id, pos, node_id): the first ``n`` distinct nodes clockwise from each anchor's token, without those excluded.
+
+    Each token looks at the tokens that follow it; the look-ahead doubles until every token sees enough nodes or the
+    whole ring. So the work is tokens times look-ahead, and anchors find their token by an equality join.
+    """
+    node = F.col("node_id")
+    if excluded is not None:
+        gone = excluded.select(node, F.lit(True).alias("_gone"))
+        ring = ring.join(gone, "node_id", "left").withColumn("node_id", F.when(F.col("_gone").isNull(), node))
+    total, nodes = ring.agg(F.count(F.lit(1)), F.count_distinct("node_id")).first()
+    twice = ring.select("hash", "node_id").withColumn("at", F.col("hash")).union(ring.select("hash", "node_id", (F.col("hash") + 2**32).alias("at")))
+    ahead = 4 * n + 16
+    while True:
+        seen = Window.orderBy("at", F.col("node_id").asc_nulls_last()).rowsBetween(Window.currentRow, ahead - 1)
+        # equal hashes count as one place: the first row of a hash sees them all
+        near = twice.withColumn("near", F.array_distinct(F.collect_list("node_id").over(seen))).filter(F.col("at") < 2**32)
+        near = near.groupBy("hash").agg(F.min_by("near", F.struct(F.col("node_id").isNull(), "node_id")).alias("near"))
+        if ahead >= total or near.filter(F.size("near") < min(n, nodes)).isEmpty():
+            break
+        ahead *= 4
+    rows = anchors.select("group_id").distinct().join(near, F.col("group_id") == F.col("hash"))
+    return rows.select("group_id", F.posexplode(F.slice("near", 1, n)).alias("pos", "node_id"))
+
+
+def replica_choice(requests: DataFrame) -> DataFrame:
+    """Adds ``node`` to requests (kind, active, group_fetch, leader, replicas, salt).
+
+    A group's fetch of the active tail and an offset query of an active segment go to the leader; other reads to
+    any replica: the one that ``salt`` points at.
+    """
+    leads = F.col("active") & ((F.col("kind") == "Offsets") | F.col("group_fetch"))
+    spread = F.get("replicas", (F.col("salt") % F.size("replicas")).cast("int"))
+    return requests.withColumn("node", F.when(leads, F.col("leader")).otherwise(spread))

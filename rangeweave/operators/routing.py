@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rangeweave.operators.sizes import small
+
 
 def lead_bytes(key: Column) -> Column:
     """The first two bytes of a key as 0..65535; missing bytes count as zero."""
@@ -32,7 +34,7 @@ def route(records: DataFrame, ranges: DataFrame, key: str = "key") -> DataFrame:
     t = tiles(ranges.drop("key"))
     at = F.col(key)
     hit = (lead_bytes(at) == t["lead"]) & (t["lo"] <= at) & (t["hi"].isNull() | (at < t["hi"]))
-    return records.join(F.broadcast(t), hit, "left").select(*[records[c] for c in records.columns], t["range_id"])
+    return records.join(small(t), hit, "left").select(*[records[c] for c in records.columns], t["range_id"])
 
 
 def check_writable(requests: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -53,7 +55,7 @@ def overlapping(ranges: DataFrame, start: bytes | None = None, end: bytes | None
 
 def span_scan(records: DataFrame, ranges: DataFrame, start: bytes, end: bytes) -> DataFrame:
     """P1 on records: every record of an overlapping range, also those outside the span."""
-    return records.join(F.broadcast(overlapping(ranges, start, end).select("range_id")), "range_id", "left_semi")
+    return records.join(small(overlapping(ranges, start, end).select("range_id")), "range_id", "left_semi")
 
 
 def replica_addresses(segments: DataFrame, members: DataFrame) -> DataFrame:

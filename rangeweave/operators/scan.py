@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rangeweave.operators.sizes import small
+
 from .prefix import running
 
 
@@ -83,12 +85,24 @@ def skip_forward(requests: DataFrame, segments: DataFrame) -> DataFrame:
     return requests.join(head, "range_id", "left").select("range_id", F.greatest("entry_id", F.coalesce("first_retained", F.lit(0))).cast("long").alias("entry_id"))
 
 
+#: Entries in a block, the second key of the join between requests and segments.
+LOOKUP = 1 << 12
+
+
 def locate(requests: DataFrame, segments: DataFrame) -> DataFrame:
-    """The segment for (range_id, entry_id): the active one if it starts at or below, else the sealed one that covers it; an unknown end is open."""
+    """The segment for (range_id, entry_id): the active one if it starts at or below, else the sealed one that covers it; an unknown end is open.
+
+    Segments are listed under the blocks of entries that they cover, as far as requests go, so that requests meet only the segments of their block.
+    """
+    block = F.floor(F.col("entry_id") / LOOKUP)
+    far = requests.groupBy(F.col("range_id").alias("_r")).agg(F.max("entry_id").alias("_far"))
     s = segments.filter("state <> 'Deleting'").select(F.col("range_id").alias("_r"), "segment_id", "state", "start_entry_id", F.when(F.col("state") == "Sealed", F.col("end_entry_id")).alias("_end"))
-    hit = (F.col("range_id") == F.col("_r")) & (F.col("start_entry_id") <= F.col("entry_id")) & (F.col("_end").isNull() | (F.col("entry_id") <= F.col("_end")))
+    s = s.join(far, "_r").withColumn("_upto", F.least(F.coalesce("_end", "_far"), F.col("_far"))).filter("start_entry_id <= _upto")
+    s = s.withColumn("_block", F.explode(F.sequence(F.floor(F.col("start_entry_id") / LOOKUP), F.floor(F.col("_upto") / LOOKUP))))
+    rows = requests.withColumn("_own", block)
+    hit = (F.col("range_id") == F.col("_r")) & (F.col("_own") == F.col("_block")) & (F.col("start_entry_id") <= F.col("entry_id")) & (F.col("_end").isNull() | (F.col("entry_id") <= F.col("_end")))
     best = F.max_by("segment_id", F.struct((F.col("state") == "Active").cast("int"), "start_entry_id"))
-    return requests.join(s, hit, "left").groupBy("range_id", "entry_id").agg(best.alias("segment_id"))
+    return rows.join(s, hit, "left").groupBy("range_id", "entry_id").agg(best.alias("segment_id"))
 
 
 def scan_end(segments: DataFrame) -> DataFrame:
@@ -118,7 +132,7 @@ def progress(ranges: DataFrame) -> DataFrame:
 def owned_records(records: DataFrame, assignments: DataFrame, member: str) -> DataFrame:
     """A member's records: those of ranges that it owns and isn't fenced from."""
     own = assignments.filter((F.col("member") == member) & ~F.col("fenced")).select("range_id")
-    return records.join(F.broadcast(own), "range_id", "left_semi")
+    return records.join(small(own), "range_id", "left_semi")
 
 
 def unpaused(records: DataFrame, paused: DataFrame) -> DataFrame:

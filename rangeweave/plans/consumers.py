@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rangeweave.operators import groups, lifecycle, lineage, recovery, scan
+from rangeweave.plans import folds
 from rangeweave.plans.catalog import query
 from rangeweave.sources.fixtures import sql
 
@@ -187,12 +188,15 @@ def j11_orphans(t):
     return recovery.orphans(recovered, t.segments, t.segments.filter("range_id = 1"))
 
 
-@query(sql("SELECT range_id, segment_id, entry_id, event_id AS lsn FROM records WHERE event_id % 10 <> 9 AND event_id < 4000", "records"))
-def s13_wal_reclaim(t):
-    return t.records.filter("event_id % 10 <> 9 and event_id < 4000").select("range_id", "segment_id", "entry_id", F.col("event_id").alias("lsn"))
+_WAL = """
+, mark AS (SELECT least(min(m), (SELECT max(event_id) FROM records)) AS w FROM (
+  SELECT r.range_id, max(r.event_id) AS m FROM records r JOIN segments s ON s.range_id = r.range_id AND s.segment_id = r.segment_id WHERE s.state = 'Sealed' GROUP BY r.range_id))
+, file AS (SELECT log_id, file, count(*) AS frames, sum(b)::BIGINT AS bytes, min(lsn) AS first_lsn, max(lsn) AS max_lsn FROM fold WHERE i > 0 GROUP BY ALL)
+SELECT file.*, bytes >= 4096 AND coalesce(max_lsn <= coalesce(w, (SELECT max(event_id) FROM records)), false) AS reclaimed FROM file, mark
+"""
 
 
-@query()
+@query(sql(_WAL, "records", "segments", recursive=folds.wal(1 << 12)))
 def s13_wal_files(t):
     """All records framed, a log for each range; sealed segments are checkpointed up to their last record."""
     frames = t.records.select(F.col("range_id").alias("log_id"), F.col("event_id").alias("lsn"), F.length("props").alias("payload_bytes"))
@@ -205,3 +209,45 @@ def s13_wal_files(t):
 @query(sql("SELECT range_id, lo AS keyspace_start FROM ranges", "ranges"))
 def o3_active_ranges_sorted(t):
     return t.ranges.filter("state = 'Active'").orderBy("keyspace_start").select("range_id", F.lower(F.hex("keyspace_start")).alias("keyspace_start"))
+
+
+def _deliveries(t):
+    e = F.col("event_id")
+    kind = F.when(e % 4 == 0, "Ack").when(e % 4 == 1, "Commit").otherwise("Deliver")
+    pos = F.when(e % 4 == 0, F.col("absolute_offset") - 3).when(e % 4 != 1, F.col("absolute_offset"))
+    return t.records.select(e.alias("seq"), "range_id", kind.alias("kind"), pos.alias("pos"))
+
+
+_T7 = """
+, d AS (SELECT range_id, event_id AS seq, event_id % 4 AS k, absolute_offset AS o FROM records
+), r AS (SELECT *, max(CASE WHEN k >= 2 THEN o END) OVER w AS delivered FROM d WINDOW w AS (PARTITION BY range_id ORDER BY seq)
+), a AS (SELECT *, max(CASE WHEN k = 0 AND o - 3 <= delivered THEN o - 3 END) OVER w AS acked FROM r WINDOW w AS (PARTITION BY range_id ORDER BY seq)
+), e AS (
+  SELECT range_id, 'AtLeastOnce' AS semantic, max(delivered) AS delivered, max(CASE WHEN k = 1 THEN acked END) AS committed FROM a GROUP BY range_id
+  UNION ALL SELECT range_id, 'AtMostOnce', max(delivered), max(CASE WHEN k = 1 THEN delivered END) FROM a GROUP BY range_id)
+SELECT range_id, semantic, delivered, committed, delivered - coalesce(committed, -1) AS again FROM e
+"""
+
+
+@query(sql(_T7, "records"))
+def t7_delivery_semantics(t):
+    """What has been committed, and what a restart reads again, under both semantics."""
+    both = [groups.delivered_by(_deliveries(t), s).withColumn("semantic", F.lit(s)) for s in ("AtLeastOnce", "AtMostOnce")]
+    return both[0].unionByName(both[1])
+
+
+@query(
+    sql(
+        ", k AS (SELECT range_id, (at_ms // 3600000 + 1) * 3600000 AS at_ms, max(absolute_offset - event_id % 9) AS pos FROM records GROUP BY ALL), c AS (SELECT *, max(pos) OVER (PARTITION BY range_id ORDER BY at_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM k) SELECT range_id, at_ms, pos FROM c WHERE was IS NULL OR pos > was",
+        "records",
+    )
+)
+def t8_auto_commits(t):
+    rows = t.records.select("range_id", "at_ms", (F.col("absolute_offset") - F.col("event_id") % 9).alias("pos"))
+    return groups.auto_commits(rows, 3600000)
+
+
+@query(sql("SELECT 'm' || user_id % 7 AS member, at_ms, greatest(ceil((at_ms - 1704067200000) / 1000.0)::BIGINT * 1000 + 1704067200000, 1704067202000) AS taken_ms FROM ev", "ev"))
+def t8_rebalance_ticks(t):
+    changes = t.events.select(F.concat(F.lit("m"), (F.col("user_id") % 7).cast("string")).alias("member"), "at_ms")
+    return groups.rebalances(changes, 1704067200000)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rangeweave.functions import codec, keyspace
 from rangeweave.operators import log, routing, scan
+from rangeweave.plans import folds
 from rangeweave.plans.catalog import query
 from rangeweave.sources.fixtures import sql
 
@@ -217,9 +218,22 @@ def s16_codec_round_trip(t):
     return back.select("range_id", "entry_id", "batch_offset", F.lower(F.hex("key")).alias("key_hex"), F.col("value").cast("string").alias("value"))
 
 
-@query()
-def s17_encoded_entries(t):
-    return codec.encoded_entries(t.records.withColumn("value", F.col("event_type")), codec.ZSTD).select("range_id", "entry_id", "record_count", F.crc32("data").alias("digest"))
+@query(
+    sql(
+        "SELECT c AS codec, range_id, entry_id, count(*) AS records, string_agg(k || ':' || event_type, ',' ORDER BY batch_offset) AS content FROM records, (VALUES ('None'), ('Lz4'), ('Zstd')) AS v(c) GROUP BY ALL",
+        "records",
+    )
+)
+def s17_codecs(t):
+    """Every entry packed by each codec and unpacked again."""
+    rows = t.records.select("range_id", "entry_id", "batch_offset", "key", F.col("event_type").alias("value"))
+    found = None
+    for name, tag in (("None", codec.NONE), ("Lz4", codec.LZ4), ("Zstd", codec.ZSTD)):
+        back = codec.decoded_records(codec.encoded_entries(rows, tag)).withColumn("codec", F.lit(name))
+        found = back if found is None else found.unionByName(back)
+    one = F.concat(F.lower(F.hex("key")), F.lit(":"), F.col("value").cast("string"))
+    content = F.transform(F.array_sort(F.collect_list(F.struct("batch_offset", one.alias("x")))), lambda r: r["x"])
+    return found.groupBy("codec", "range_id", "entry_id").agg(F.count(F.lit(1)).alias("records"), F.array_join(content, ",").alias("content"))
 
 
 @query(sql("SELECT count(*) AS records, count(DISTINCT range_id) AS ranges FROM records", "records"))
@@ -235,7 +249,7 @@ def f1_midpoint(t):
     return rows.select("lo", "hi", F.lower(F.hex(mid)).alias("mid"), keyspace.inside(mid, a, b).alias("inside"))
 
 
-@query()
+@query("SELECT event_id, " + folds.crc32("hx") + " AS digest, " + folds.crc32("('0000000001' || printf('%08x', length(hx) // 2) || hx)") + " AS frame FROM (SELECT event_id, lower(hex(props)) AS hx FROM events)")
 def f5_payload_digest(t):
     return t.events.select("event_id", F.crc32(F.col("props").cast("binary")).alias("digest"), keyspace.frame_crc(F.lit(0), F.lit(1), F.col("props").cast("binary")).alias("frame"))
 
@@ -260,16 +274,6 @@ def s7_fetch_by_name(t):
     return got.join(scan.progress(t.ranges).select("range_id", "progress"), "range_id")
 
 
-@query(sql("SELECT range_id, segment_id, count(*) AS entries, min(entry_id) AS first_entry FROM entries WHERE range_id = 2 AND segment_id >= 3 GROUP BY ALL", "entries"))
-def s11_segment_files(t):
-    from rangeweave.sources.scratch import folder
-
-    path = folder(t.spark, "segments")
-    log.write_segments(t.entries.select("range_id", "segment_id", "entry_id", "record_count", "payload_bytes"), path)
-    back = t.spark.read.schema("entry_id long, record_count long, payload_bytes long, range_id long, segment_id long").parquet(path)
-    return back.filter("range_id = 2 and segment_id >= 3").groupBy("range_id", "segment_id").agg(F.count(F.lit(1)).alias("entries"), F.min("entry_id").alias("first_entry"))
-
-
 @query(sql("SELECT range_id, segment_id, count(*) AS entries, sum(record_count)::BIGINT AS records, sum(payload_bytes)::BIGINT AS bytes, min(entry_id) AS first_entry, max(entry_id) AS last_entry FROM entries GROUP BY range_id, segment_id", "entries"))
 def s11_all_segment_files(t):
     """Every segment of every range, written and read back."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rangeweave.functions import keyspace
 from rangeweave.functions.ring import murmur3_32
 from rangeweave.operators import lifecycle, membership, routing
+from rangeweave.plans import folds
 from rangeweave.plans.catalog import query
 from rangeweave.sources.fixtures import sql
 
@@ -212,46 +213,60 @@ def _ring(t):
     return membership.ring(nodes, 16)
 
 
-@query()
+@query("WITH " + folds.murmur("hashed", "(SELECT DISTINCT user_id FROM events)", "lower(hex(user_id::VARCHAR))") + " SELECT user_id, hash FROM hashed")
 def f3_murmur3(t):
     return t.events.select("user_id").distinct().select("user_id", murmur3_32(F.col("user_id").cast("string").cast("binary")).alias("hash"))
 
 
-@query()
+@query("WITH " + folds.RING + " SELECT hash, node_id, replica FROM ring")
 def f4_ring_tokens(t):
     return _ring(t)
 
 
-@query()
+_KEYED = ", " + folds.murmur("keyed", "ev", "k") + ", " + folds.RING + folds.GROUPED
+
+
+@query(sql(_KEYED + " SELECT event_id, hash AS key_hash, group_id FROM grouped", "ev"))
 def j3_shard_groups(t):
     return membership.shard_groups(t.events.select("event_id", "key"), _ring(t)).select("event_id", "key_hash", "group_id")
 
 
-@query()
+@query("WITH " + folds.RING + folds.OWNERS.format(where="") + " SELECT group_id, pos, node_id FROM owned")
 def j4_ring_owners(t):
     ring = _ring(t)
     return membership.owners(ring.select(F.col("hash").alias("group_id")), ring, 3)
 
 
-@query()
+@query("WITH " + folds.RING + folds.OWNERS.format(where=" WHERE node_id <> 'n2'") + " SELECT group_id, pos, node_id FROM owned")
 def j5_replacement_nodes(t):
     ring = _ring(t)
     return membership.owners(ring.select(F.col("hash").alias("group_id")), ring, 3, t.spark.createDataFrame([("n2",)], "node_id string"))
 
 
-@query()
+@query("WITH " + folds.RING + folds.OWNERS.format(where="") + " SELECT node_id, count(*) AS groups, min(group_id) AS first_group FROM owned GROUP BY node_id")
 def r11_ring_reverse_index(t):
     ring = _ring(t)
     rows = membership.owners(ring.select(F.col("hash").alias("group_id")), ring, 3)
     return rows.groupBy("node_id").agg(F.count(F.lit(1)).alias("groups"), F.min("group_id").alias("first_group"))
 
 
-@query()
+@query(sql("SELECT range_id, entry_id, segment FROM fold WHERE entry_id >= 0", "entries", recursive=folds.rolls(1500)))
 def r1_segment_rolls(t):
     return lifecycle.rolled(t.entries, 1500)
 
 
-@query()
+@query(
+    "WITH "
+    + folds.murmur("keyed", "(SELECT DISTINCT user_id, md5(user_id::VARCHAR) AS k FROM events)", "k")
+    + ", "
+    + folds.RING
+    + folds.GROUPED
+    + folds.OWNERS.format(where="")
+    + """, member AS (SELECT group_id, string_agg(node_id, ',' ORDER BY pos) AS members FROM owned GROUP BY group_id
+), report AS (SELECT group_id, user_id, 'n' || user_id % 5 AS node, user_id % 3 AS term FROM grouped WHERE user_id % 3 > 0
+), leader AS (SELECT group_id, arg_min(node, [-term, user_id]) AS leader FROM report GROUP BY group_id)
+SELECT user_id, g.group_id, members, leader FROM grouped g JOIN member m ON m.group_id = g.group_id LEFT JOIN leader l ON l.group_id = g.group_id"""
+)
 def s22_shard_info(t):
     """Members and leader, if known, of the shard group of each key."""
     ring = _ring(t)
@@ -267,3 +282,56 @@ def r10_under_replicated(t):
     rows = lifecycle.with_dead_members(t.segments, _live(t))
     kept = F.size("replicas") - F.size("dead")
     return rows.select("range_id", "segment_id", kept.cast("long").alias("kept"), F.size("dead").cast("long").alias("missing"))
+
+
+@query(sql(_DEAD + ", f AS (SELECT range_id, segment_id, (SELECT min(node_id) FROM live WHERE NOT list_contains(dm.replicas, node_id)) AS extra FROM dm) SELECT s.range_id, s.segment_id, array_to_string(CASE WHEN f.extra IS NULL THEN replicas ELSE list_append(list_filter(replicas, lambda x: x <> 'n2'), f.extra) END, ',') AS replicas FROM segments s LEFT JOIN f ON f.range_id = s.range_id AND f.segment_id = s.segment_id", "segments"))
+def r10_refilled(t):
+    rows = lifecycle.refilled(t.segments, _live(t))
+    return rows.select("range_id", "segment_id", F.array_join("replicas", ",").alias("replicas"))
+
+
+_FULL = ", ok AS (SELECT range_id, entry_id FROM acks GROUP BY ALL HAVING count(DISTINCT node_id) = 3{where})"
+
+
+@query(
+    sql(
+        _FULL.format(where=" AND entry_id >= 9")
+        + ", r AS (SELECT *, row_number() OVER (PARTITION BY range_id ORDER BY entry_id) + 8 AS k FROM ok) SELECT range_id, max(entry_id) AS committed FROM r WHERE k = entry_id GROUP BY range_id",
+        "acks",
+    )
+)
+def a12_after_retention(t):
+    """Commit positions of logs whose first nine entries are gone."""
+    retained = t.acks.select("range_id").distinct().withColumn("first_entry_id", F.lit(9).cast("long"))
+    return membership.committed_prefix(t.acks.filter("entry_id >= 9"), 3, retained)
+
+
+@query(
+    sql(
+        _FULL.format(where="")
+        + ", last AS (SELECT range_id, max(entry_id) AS committed FROM (SELECT *, row_number() OVER (PARTITION BY range_id ORDER BY entry_id) - 1 AS k FROM ok) WHERE k = entry_id GROUP BY range_id) SELECT s.range_id, s.segment_id FROM segments s LEFT JOIN last l ON l.range_id = s.range_id WHERE state = 'Active' AND size_bytes >= 200 AND (s.range_id % 2 = 0 OR l.committed >= last_entry_id)",
+        "segments",
+        "acks",
+    )
+)
+def r14_size_rolls(t):
+    """Even ranges have all acknowledgements; the others stop at their first gap."""
+    whole = t.segments.filter("state = 'Active' and range_id % 2 = 0").select("range_id", F.col("last_entry_id").alias("committed"))
+    gaps = membership.committed_prefix(t.acks, 3).filter("range_id % 2 = 1")
+    return lifecycle.size_rolls(t.segments, whole.unionByName(gaps), 200)
+
+
+@query(
+    sql(
+        "SELECT event_id, CASE WHEN r.segment_id = s.newest AND (event_id % 5 = 0 OR event_id % 2 = 0) THEN 'n' || (r.range_id + r.segment_id) % 5 ELSE 'n' || (r.range_id + r.segment_id + event_id % 3) % 5 END AS node FROM records r JOIN (SELECT DISTINCT range_id, newest FROM segs) s ON s.range_id = r.range_id",
+        "records",
+        "segs",
+    )
+)
+def s25_replica_choice(t):
+    """Where each record's reader goes: group fetches, single fetches and offset queries of active and sealed segments."""
+    e = F.col("event_id")
+    at = t.segments.select("range_id", "segment_id", (F.col("state") == "Active").alias("active"), "replicas")
+    requests = t.records.select("event_id", "range_id", "segment_id").join(at, ["range_id", "segment_id"])
+    requests = requests.select(e, F.when(e % 5 == 0, "Offsets").otherwise("Fetch").alias("kind"), "active", (e % 2 == 0).alias("group_fetch"), F.get("replicas", F.lit(0)).alias("leader"), "replicas", e.alias("salt"))
+    return membership.replica_choice(requests).select("event_id", "node")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rangeweave.operators import dedup, groups, log
+from rangeweave.plans import folds
 from rangeweave.plans.catalog import query
 from rangeweave.sources.fixtures import sql
 
 
-@query()
+@query(sql("SELECT range_id, producer_id, seq, verdict, number FROM gate WHERE i > 0", "routed", recursive=folds.APPENDS))
 def t1_dedup_verdicts(t):
     return dedup.verdicts(t.appends)
 
@@ -41,7 +42,7 @@ def t3_session_verify(t):
     return dedup.verify_sessions(requests, known).select("event_id", "verdict")
 
 
-@query()
+@query(sql(folds.MEMBERS + "SELECT group_id, seq, generation, members, ranges FROM grown", "ev"))
 def a18_group_membership(t):
     e = F.col("event_id")
     commands = t.events.select(
@@ -50,17 +51,18 @@ def a18_group_membership(t):
         F.concat(F.lit("m"), (F.col("user_id") % 8).cast("string")).alias("member"),
         F.when(e % 29 == 0, "Leave").otherwise("Heartbeat").alias("action"),
         F.col("at_ms").alias("at"),
+        F.sequence(F.lit(0).cast("long"), 3 + F.floor(e / 400) % 2).alias("ranges"),
     )
     return groups.membership(commands, 7200000)
 
 
-@query()
+@query(sql("SELECT range_id, seq, batch FROM fold WHERE i > 0", "routed", recursive=folds.batches("length(props) + length(event_type)", 600, 25)))
 def a1_byte_batches(t):
     rows = t.routed.select("range_id", F.col("event_id").alias("seq"), (F.length("props") + F.length("event_type")).alias("nbytes"), "at_ms")
     return log.batched_by_bytes(rows, 600, 25)
 
 
-@query()
+@query(sql("SELECT range_id, seq, batch FROM fold WHERE i > 0", "routed", recursive=folds.batches("length(props)", 1 << 20, 1000, 3600000)))
 def a2_linger_batches(t):
     rows = t.routed.select("range_id", F.col("event_id").alias("seq"), F.length("props").alias("nbytes"), "at_ms")
     return log.batched_by_bytes(rows, 1 << 20, 1000, linger_ms=3600000)
@@ -72,17 +74,20 @@ def a1_count_batches(t):
     return log.batched_by_bytes(rows, 1 << 40, 20).groupBy("range_id").agg(F.count_distinct("batch").alias("batches"))
 
 
-@query()
+@query(
+    sql(
+        folds.MEMBERS
+        + """, one AS (SELECT group_id, seq, generation, string_split(members, ',') AS ms, string_split(ranges, ',') AS rs FROM grown WHERE members <> '')
+SELECT group_id, seq, generation, ms[k + 1] AS member, array_to_string(list_filter(rs, lambda r: r::INT % len(ms) = k), ',') AS ranges FROM one, unnest(range(0, len(ms))) AS u(k)""",
+        "ev",
+    )
+)
 def s23_group_sync(t):
-    """After each heartbeat or leave: the generation and the ranges that the member then has."""
-    from pyspark.sql import Window
-
-    synced = a18_group_membership(t)
-    members = synced.withColumn("m", F.explode(F.split("members", ","))).filter("m <> ''")
-    rank = Window.partitionBy("group_id", "seq").orderBy("m")
-    members = members.withColumns({"i": F.row_number().over(rank) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy("group_id", "seq"))})
-    ranges = F.filter(F.sequence(F.lit(0), F.lit(3)), lambda r: r % F.col("n") == F.col("i"))
-    return members.select("group_id", "seq", "generation", F.col("m").alias("member"), F.array_join(F.transform(ranges, lambda r: r.cast("string")), ",").alias("ranges"))
+    """After each heartbeat or leave: the generation and the ranges that each member then has."""
+    synced = a18_group_membership(t).filter("members <> ''").withColumns({"ms": F.split("members", ","), "rs": F.split("ranges", ",")})
+    each = synced.select("group_id", "seq", "generation", "rs", F.size("ms").alias("n"), F.posexplode("ms").alias("k", "member"))
+    own = F.filter("rs", lambda r: r.cast("int") % F.col("n") == F.col("k"))
+    return each.select("group_id", "seq", "generation", "member", F.array_join(own, ",").alias("ranges"))
 
 
 @query(sql(_T2, "ev"))

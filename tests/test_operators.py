@@ -1,5 +1,6 @@
 """Cases with literals: order-dependent folds, codecs, plans."""
 
+import random
 import zlib
 
 import pytest
@@ -44,7 +45,8 @@ def test_sessions(spark):
 
 def test_membership_epochs(spark):
     rows = [("g", 0, "a", "Heartbeat", 1), ("g", 1, "a", "Heartbeat", 2), ("g", 2, "b", "Heartbeat", 3), ("g", 3, "b", "Heartbeat", 20)]
-    found = groups.membership(spark.createDataFrame(rows, "group_id string, seq long, member string, action string, at long"), 10)
+    commands = spark.createDataFrame(rows, "group_id string, seq long, member string, action string, at long").withColumn("ranges", F.array(F.lit(0)))
+    found = groups.membership(commands, 10)
     assert [(r.generation, r.members) for r in found.orderBy("seq").collect()] == [(1, "a"), (1, "a"), (2, "a,b"), (3, "b")]
 
 
@@ -130,8 +132,11 @@ def test_boundary_and_recency(spark):
 
 def test_codec():
     records = [(b"k", b"only-once"), (b"", b""), (b"\xff" * 300, b"v")]
-    for tag in (codec.NONE, codec.ZSTD):
+    for tag in (codec.NONE, codec.LZ4, codec.ZSTD):
         assert codec.decode(codec.encode(records, tag), 3) == records
+        assert codec.decode(codec.encode([], tag), 0) == []
+    packed = codec.encode(records, codec.LZ4)
+    assert packed[0] == 1 and int.from_bytes(packed[1:5], "little") == len(codec.encode(records)) - 1
     assert codec.encode([(b"k", b"v")]) == b"\0\0\0\0\1k\0\0\0\1v"
     with pytest.raises(ValueError):
         codec.decode(b"", 0)
@@ -139,8 +144,9 @@ def test_codec():
         codec.decode(b"\x07", 0)
     with pytest.raises(ValueError):
         codec.decode(codec.encode(records)[:-1], 3)
-    with pytest.raises(NotImplementedError):
-        codec.encode(records, codec.LZ4)
+    for broken in (packed[:3], packed[:5] + b"\xff" * 9):
+        with pytest.raises(ValueError):
+            codec.decode(broken, 3)
 
 
 def test_murmur3():
@@ -197,3 +203,66 @@ def test_segments_round_trip(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "log"))
     assert back.filter("range_id = 1 and entry_id >= 4").count() == 4
     assert "PartitionFilters: [isnotnull(range_id" in back.filter("range_id = 1")._jdf.queryExecution().toString()
+
+
+def test_owners_by_brute_force(spark):
+    """Few tokens, equal hashes, an excluded node, more owners wanted than there are nodes; no pairs of anchors and tokens."""
+    rng = random.Random(2)
+    tokens = [(rng.randrange(2**32), f"n{rng.randrange(6)}") for _ in range(60)]
+    tokens += [(tokens[0][0], "n5"), (tokens[1][0], "n0"), (7, "n6"), (7, "n1")]
+    ring = spark.createDataFrame(tokens, "hash long, node_id string")
+    anchors = ring.select(F.col("hash").alias("group_id"))
+    for n, gone in ((3, None), (9, None), (2, "n1")):
+        excluded = None if gone is None else spark.createDataFrame([(gone,)], "node_id string")
+        found = membership.owners(anchors, ring, n, excluded)
+        got = {(r.group_id, r.pos): r.node_id for r in found.collect()}
+        want = {}
+        for a, _ in tokens:
+            near = {}
+            for h, node in tokens:
+                if node != gone:
+                    near[node] = min(near.get(node, 2**32), (h - a) % 2**32)
+            for pos, node in enumerate(sorted(near, key=lambda x: (near[x], x))[:n]):
+                want[a, pos] = node
+        assert got == want
+        assert "Cartesian" not in found._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_parked_commits_of_one_key(spark):
+    """Thousands of commits of one key: no frame holds the whole key for each row."""
+    rows = [(i, "Seal" if i % 100 == 0 else "Commit", "g", 0, i // 100 + (1 if i % 7 == 0 else 0) - (1 if i % 11 == 0 else 0)) for i in range(6000)]
+    log_ = spark.createDataFrame(rows, "lsn long, kind string, group_id string, range_id long, generation long")
+    got = {r.lsn: r.verdict for r in groups.commit_verdicts(log_).collect()}
+    epoch, seals = 0, {}
+    for lsn, kind, _, _, g in rows:
+        if kind == "Seal":
+            seals[g] = lsn
+    for lsn, kind, _, _, g in rows:
+        if kind == "Seal":
+            epoch = max(epoch, g)
+        else:
+            assert got[lsn] == ("StaleEpoch" if g < epoch else "Staged" if g == epoch else "ParkedThenStaged" if seals.get(g, -1) > lsn else "Parked")
+
+
+def test_lookup_joins_on_blocks(spark):
+    segments = spark.createDataFrame([(0, 0, "Sealed", 0, 9000), (0, 1, "Sealed", 9001, None), (0, 2, "Active", 20000, None), (1, 0, "Active", 5, None)], "range_id long, segment_id long, state string, start_entry_id long, end_entry_id long")
+    asked = spark.createDataFrame([(0, 0), (0, 4096), (0, 9000), (0, 9001), (0, 19999), (0, 20000), (0, 99999), (1, 4), (1, 70000), (2, 1)], "range_id long, entry_id long")
+    found = {(r.range_id, r.entry_id): r.segment_id for r in scan.locate(asked, segments).collect()}
+    assert found == {(0, 0): 0, (0, 4096): 0, (0, 9000): 0, (0, 9001): 1, (0, 19999): 1, (0, 20000): 2, (0, 99999): 2, (1, 4): None, (1, 70000): 0, (2, 1): None}
+
+
+def test_groups_learn_of_ranges(spark):
+    rows = [(1, "a", "Heartbeat", 1, [0, 1]), (2, "a", "Heartbeat", 2, [0, 1]), (3, "a", "Heartbeat", 3, [0, 2, 3]), (4, "a", "Leave", 4, [0, 2, 3]), (5, "b", "Leave", 5, [0, 2, 3]), (6, "b", "Leave", 6, [])]
+    commands = spark.createDataFrame([("g", s, m, a, t, r) for s, m, a, t, r in rows], "group_id string, seq long, member string, action string, at long, ranges array<long>")
+    got = {r.seq: (r.generation, r.members, r.ranges) for r in groups.membership(commands, 100).collect()}
+    assert got == {1: (1, "a", "0,1"), 2: (1, "a", "0,1"), 3: (2, "a", "0,2,3"), 4: (3, "", ""), 5: (4, "", ""), 6: (4, "", "")}
+
+
+def test_semantics(spark):
+    rows = [(1, 0, "Deliver", 5), (2, 0, "Ack", 4), (3, 0, "Deliver", 6), (4, 0, "Commit", None), (5, 0, "Deliver", 9)]
+    log_ = spark.createDataFrame(rows, "seq long, range_id long, kind string, pos long")
+    got = {s: groups.delivered_by(log_, s).first() for s in ("AtLeastOnce", "AtMostOnce")}
+    assert (got["AtLeastOnce"].committed, got["AtLeastOnce"].again) == (4, 5) and (got["AtMostOnce"].committed, got["AtMostOnce"].again) == (6, 3)
+    with pytest.raises(ValueError):
+        groups.delivered_by(log_, "Twice")
