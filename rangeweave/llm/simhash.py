@@ -9,7 +9,7 @@ fingerprints are one class from the start; a subtree emits a spanning forest, ne
 
 Defined results: a null or wordless text has fingerprint zero and links like any other. A row
 with a null id keeps its fingerprint, links with nothing and has a null component. Repeated
-rows come out repeated. An empty table gives an empty result. Other columns pass by unread.
+rows come out repeated. Different texts of one id are grouped apart, each by its own fingerprint. An empty table gives an empty result. Other columns pass by unread.
 """
 
 from __future__ import annotations
@@ -51,15 +51,15 @@ def fingerprint(text: bytes | None, shingle: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 4) -> DataFrame:
-    """(id, fp): fp is the fingerprint's 64 bits as a signed long."""
+    """(id, fp, th): fp is the fingerprint's 64 bits as a signed long, th a hash of the text."""
 
     def run(batches):
         for batch in batches:
             found = [fingerprint(x.as_py() if x.is_valid else None, shingle) for x in batch.column(1)]
-            yield pa.record_batch([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], names=["id", "fp"])
+            yield pa.record_batch([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64)), batch.column(2)], names=["id", "fp", "th"])
 
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("binary").alias("t"))
-    return rows.mapInArrow(run, "id long, fp long")
+    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("binary").alias("t"), F.xxhash64(text_column).alias("th"))
+    return rows.mapInArrow(run, "id long, fp long, th long")
 
 
 def blocks(budget: int) -> list[tuple[int, int]]:
@@ -212,12 +212,19 @@ def links(classes: DataFrame, budget: int = 4, limit: int = SUBTREE_LIMIT) -> Da
 def near_duplicates(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 4, budget: int = 4
 ) -> DataFrame:
-    """(id, fp, component): the component is the smallest id reachable over links, the row's own included."""
+    """(id, fp, component, th, group): the component is the smallest id reachable over links, the row's own included.
+
+    ``group`` names the linked fingerprints (null ids have none); ``th`` is a hash of the row's text.
+    """
     with bounded_batches(docs.sparkSession):
         prints = written(fingerprints(docs, id_column, text_column, shingle), "simhash")
-    classes = written(prints.filter("id is not null").groupBy("fp").agg(F.min("id").alias("node")), "simhash-classes")
-    linked = components(links(classes, budget), "simhash-links")
-    label = classes.join(linked, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
+    classes = written(prints.filter("id is not null").groupBy("fp").agg(F.min("id").alias("least")), "simhash-classes")
+    # a fingerprint names its class: one id may hold several texts
+    linked = written(components(links(classes.select("fp", F.col("fp").alias("node")), budget), "simhash-links"), "simhash-groups")
+    label = classes.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("group"))
+    first = label.join(linked.select("component").distinct(), F.col("group") == F.col("component"), "left_semi").groupBy("group").agg(F.min("least").alias("first"))
+    label = label.join(first, "group", "left").select("fp", "group", F.coalesce("first", "least").alias("component"))
+    known = F.col("id").isNotNull()
     return prints.join(label, "fp", "left").select(
-        "id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component")
+        "id", "fp", F.when(known, F.col("component")).alias("component"), "th", F.when(known, F.col("group")).alias("group")
     )

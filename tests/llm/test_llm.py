@@ -111,6 +111,13 @@ def test_simhash_edges(edge, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_texts_of_one_id_are_grouped_apart(spark):
+    words = lambda k: " ".join(f"{chr(97 + k)}{j * (k + 3) % 91}" for j in range(120))
+    rows = [(5, words(0)), (5, words(1)), (3, words(1)), (9, words(0)), (2, words(2)), (2, words(2))]
+    found = collections.Counter((r.id, r.component) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert found == collections.Counter([(5, 5), (5, 3), (3, 3), (9, 5), (2, 2), (2, 2)])
+
+
 # 2 language
 
 
