@@ -394,30 +394,25 @@ def test_counts_of_buckets():
         assert +got == want
 
 
-def test_probabilities_add_up_after_each_word(spark, monkeypatch):
+def test_probabilities_add_up_after_each_word(spark):
     """Over all training words, the end and one unknown word, in a restaurant of its own, a class's, and the beginning's."""
     random.seed(4)
     words = "abcdefgh"
     rows = [(i, " ".join(random.choice(words[: 1 + i % 8]) for _ in range(30)) + (" rare" if i == 1 else "")) for i in range(60)]
     held = [j for j in range(1000, 3000) if zlib.crc32(str(j).encode()) % 10 == 0]
     found = []
-    plain = perplexity.scored
-    # each pair once, by texts of two words: P(x) P(y | x) P(end | y); the chain's own probabilities are compared
+    # each pair of words once; the chains' own probabilities are added up
     probe = [f"{x} {y}" for x in (*words, "rare", "strange") for y in (*words, "rare", "strange", "")]
-
-    def spy(b, own, states, shared, totals):
-        chain = perplexity.Chain(b, own, shared)
-        chain.restore(states[len(totals) - 1])
-        chain.settle(totals[-1])
-        for w, u, p in zip(b.digest[b.word], b.name[b.u], chain.probability(len(totals) - 1)):
-            found.append((int(w), int(u), float(p)))
-        return plain(b, own, states, shared, totals)
-
     df = spark.createDataFrame(rows + list(zip(held, probe)), "doc_id long, text string")
     steps = perplexity.steps(df)
+    k = len(steps.totals) - 1
     for left, right in steps.pairs():
-        b = perplexity.Bucket(perplexity._messages(left), steps.hot)
-        spy(b, *perplexity._own(right), steps.shared, steps.totals)
+        own, states = perplexity._own(right)
+        for b in perplexity._slices(perplexity._messages(left), steps.hot):
+            chain = perplexity.Chain(b, own, steps.shared)
+            chain.restore(states[k * perplexity.SLICES + b.part])
+            chain.settle(steps.totals[k])
+            found += [(int(w), int(u), float(p)) for w, u, p in zip(b.digest[b.word], b.name[b.u], chain.probability(k))]
     by = collections.defaultdict(dict)
     for w, u, p in found:
         by[u][w] = p
