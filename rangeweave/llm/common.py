@@ -46,15 +46,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def dealt_out(df: DataFrame, n: int, column: str, name: str) -> DataFrame:
+def dealt_out(df: DataFrame, n: int, column: str, name: str, settled: bool = False) -> DataFrame:
     """``df`` as a table in the shared folder in ``n`` buckets of ``column``: groups of it are read without a shuffle.
 
+    ``settled``: each task already holds whole buckets, and ``df`` isn't shuffled for them.
+
     The catalogue forgets the table at once; what was read from it goes on to know the buckets.
     """
     spark = df.sparkSession
     table = f"rangeweave_{uuid.uuid4().hex}"
     path = f"{scratch(spark)}/rangeweave/{name}-{table}"
-    df.repartition(n, column).write.bucketBy(n, column).option("path", path).option("compression", "none").saveAsTable(table)
+    (df if settled else df.repartition(n, column)).write.bucketBy(n, column).option("path", path).option("compression", "none").saveAsTable(table)
     found = spark.table(table)
     found.schema  # noqa: B018  resolved before the name goes
     spark.sql(f"DROP TABLE {table}")
