@@ -451,6 +451,13 @@ def test_long_texts_go_on_in_pieces(spark, monkeypatch):
     assert counts[0] == counts[1] and want[77].n_tokens == 3
 
 
+def test_each_bucket_has_a_partition_of_its_own(spark):
+    for n in (1, 12, 52, 700):
+        labels = [int(x) for x in perplexity._labels(spark, n)]
+        dealt = spark.createDataFrame([(x,) for x in labels], "bucket int").repartition(n, "bucket")
+        assert len(set(labels)) == n and dealt.select(F.spark_partition_id().alias("p")).distinct().count() == n
+
+
 def test_a_table_united_with_itself_keeps_all_rows(spark):
     rows = [(i, f"word{i} and some more words {i % 3}") for i in range(40)]
     parts = spark.sparkContext.parallelize(rows * 2, 2)  # two partitions, each the whole table
