@@ -1,10 +1,9 @@
 """Operator 5, LM scoring: a hierarchical Pitman-Yor model seated by Gibbs sampling.
 
 Tokens are lower-cased words and one end a text. The chain of restaurants of a token is: the word before it
-(a restaurant of its own from ``OWN`` training customers on, so their number grows with the corpus, and the
-beginning of texts), that word's class (its last two bytes, 64 classes), and one restaurant for all; its
-base is uniform over the training words and one unknown. A table of a restaurant is a customer of its
-parent; customers after a rarer word sit in the class's restaurant at once.
+(each word of the training texts has a restaurant of its own, however rare, and so has the beginning of texts),
+that word's class (its last two bytes, 64 classes), and one restaurant for all; its base is uniform over the
+training words and one unknown. A table of a restaurant is a customer of its parent.
 
 The state is the number of tables of each dish in each restaurant. A sweep draws every dish's number from
 its conditional given all others (:mod:`.seating`): the seats of all its customers at once, frequent dishes
@@ -16,7 +15,8 @@ sweeps after ``BURN``. Discounts come from counts of counts (at most 0.9), stren
 Texts send hash buckets of words their distinct (word, word before, text) with frequency, packed. For learning, a
 chunk sends its pairs with training and held-out counts only; a bucket counts exactly and keeps its pairs, and what it was
 sent goes. In a sweep a bucket reads its pairs, sends shards of names (ranges) its tables' sums for each word before,
-packed, and gets back everyone's with its own state. Texts are dealt a second time to be scored; ``docs`` must give the
+packed, and gets back everyone's with its own state; where no dish of a word before has two customers, each has its one
+table for good, and the first sums stay. Texts are dealt a second time to be scored; ``docs`` must give the
 same rows in the same partitions each time that it is read, as files do. The number of buckets follows from the
 bytes of text (``BUCKET``). Words that make more than 1/``HOT_SHARE`` of the tokens of a bounded sample of texts (it decides on
 dealing alone, no count or score) are dealt over all buckets by the word before; the driver draws their parents'
@@ -44,7 +44,6 @@ from .common import bounded_batches, crc_mod, dealt_out, drop_written, give_back
 from .seating import draw
 
 CLASSES = 64
-OWN = 64
 CHUNK, CHUNK_DOCS = 6 << 20, 60000
 #: Bytes of text in a bucket, and the slices of its words that a worker takes one after the other.
 BUCKET, SLICES = 16 << 20, 4
@@ -60,7 +59,7 @@ NAMES = ["bucket", "chunk", "kind", "data"]
 KINDS = [pa.int32(), pa.int64(), pa.int32(), pa.binary()]
 TYPE = "bucket int, chunk long, kind int, data binary"
 ASK, META, SUMS = 0, 1, 2
-#: Rows that a bucket sends: numbers to add up, words with own restaurants, words before (both to a shard of names, ``u``),
+#: Rows that a bucket sends: numbers to add up, words with training counts, words before (both to a shard of names, ``u``),
 #: hot words' customers, the tables after a sweep, a slice's pairs.
 NUMBERS, WORDS, BEFORE, PARENTS, STATE, PAIRS = 0, 1, 2, 3, 4, 5
 SENT = "kind int, bucket int, u long, c long, v array<double>, s binary"
@@ -349,6 +348,11 @@ def _below(c, t, p, customers, tables, d: float):
     return (c - d * t + (STRENGTH + d * tables) * p) / (STRENGTH + customers)
 
 
+def moving(customers: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Which restaurants' tables can change: with a table a dish at first, those where a dish has more customers than one."""
+    return customers > first
+
+
 class Chain:
     """One bucket's restaurants. ``own`` are (name, customers, tables by sweep) of words before."""
 
@@ -358,13 +362,15 @@ class Chain:
         at = np.searchsorted(names, bucket.name)
         at[at == len(names)] = 0
         is_own = names[at] == bucket.name if len(names) else np.zeros(len(bucket.name), bool)
+        # words before that only held-out texts have are without a restaurant: nobody sits there
         self.place = np.where(is_own, at, -1)[bucket.u]
         self.customers, self.history = customers, history
-        self.own = np.flatnonzero((self.place >= 0) & (bucket.c > 0))
-        rare = np.where(self.place < 0, bucket.c, 0)
-        self.direct = np.bincount(bucket.parent, weights=rare, minlength=len(bucket.parent_word))
+        some = np.flatnonzero(is_own)
+        #: names whose tables can change, and the pairs to draw: a lone customer has one table
+        self.moving = some[moving(customers, history[:, 0])[at[some]]]
+        self.drawn = np.flatnonzero(bucket.c > 1)
         # the start: every dish at one table, probabilities from plain counts
-        self.tables = (self.place >= 0) * np.minimum(bucket.c, 1)
+        self.tables = np.minimum(bucket.c, 1)
         counts = np.where(bucket.hot >= 0, shared["hot_counts"][bucket.hot], bucket.word_counts())
         plain = (counts + 1 / (shared["words"] + 1)) / (shared["tokens"] + 1)
         self.p = plain[bucket.parent_word]
@@ -375,7 +381,7 @@ class Chain:
     def sweep(self, k: int, before: Totals) -> None:
         """Draws sweep ``k`` (from 1 on) given the totals before it."""
         b, (d2, d1, d0) = self.b, self.shared["discounts"]
-        at = self.own
+        at = self.drawn
         others = self.history[self.place[at], k - 1] - self.tables[at]
         self.tables[at] = draw(b.c[at], others, STRENGTH, d2, self.p[b.parent[at]], _uniform(b.digest[b.word[at]], b.name[b.u[at]], k))
         self._customers()
@@ -393,17 +399,17 @@ class Chain:
         return [*by(self.parent_customers), *by(self.parent_tables), self.root_customers[b.hot < 0].sum(), self.root_tables[b.hot < 0].sum()]
 
     def state(self) -> bytes:
-        return _packed(self.tables[self.own], self.parent_tables, self.root_tables)
+        return _packed(self.tables[self.drawn], self.parent_tables, self.root_tables)
 
     def restore(self, state: bytes) -> None:
         """The tables as a sweep left them."""
-        own, parent, root = (x.astype(np.int64) for x in _unpacked(state))
-        self.tables[self.own], self.parent_tables, self.root_tables = own, parent, root
+        drawn, parent, root = (x.astype(np.int64) for x in _unpacked(state))
+        self.tables[self.drawn], self.parent_tables, self.root_tables = drawn, parent, root
         self._customers()
 
     def _customers(self) -> None:
         b = self.b
-        self.parent_customers = (np.bincount(b.parent, weights=self.tables, minlength=len(b.parent_word)) + self.direct).astype(np.int64)
+        self.parent_customers = np.bincount(b.parent, weights=self.tables, minlength=len(b.parent_word)).astype(np.int64)
         self.root_customers = np.bincount(b.parent_word, weights=self.parent_tables, minlength=len(b.digest)).astype(np.int64)
 
     def settle(self, after: Totals) -> None:
@@ -500,7 +506,7 @@ def _counted(bucket: int, b: Bucket):
     parent_cold = cold[b.parent_word]
     numbers = [counts.sum(), (counts[cold] > 0).sum(), *[(x == k).sum() for x in (b.c, by_parent[parent_cold], counts[cold]) for k in (1, 2)]]
     numbers += np.bincount(b.parent_class[parent_cold & (by_parent > 0)], minlength=CLASSES).tolist()
-    words = np.flatnonzero(cold & (counts >= OWN))
+    words = np.flatnonzero(cold & (counts > 0))
     hot = np.flatnonzero(~parent_cold)
     types = np.bincount(b.u, weights=b.c > 0, minlength=len(b.name))
     rows = [
@@ -524,7 +530,7 @@ def _answers(rows) -> pa.Table:
 
 
 def owned(table: pa.Table, loud, shards: int) -> pa.Table:
-    """To each bucket those of its words before that have restaurants of their own, with customers and all buckets' tables."""
+    """To each bucket those of its words before that training texts have, with customers and all buckets' tables."""
     shard, (names, customers) = table.column("u")[0].as_py(), loud
     mine = names * shards >> 40 == shard
     names, customers = _added([(names[mine], customers[mine]), *[(u, c) for _, u, c in _blobs_of(table, WORDS)]])
@@ -557,17 +563,24 @@ def _own(table: pa.Table):
             kept = [x.astype(np.int64) for x in _unpacked(s.as_py())]
         else:
             states[u] = s.as_py()
-    if not answers:
-        # no word has a restaurant of its own in small corpora
+    answers = [np.concatenate(x) for x in zip(*[(_names(*x[:2]), *x[2:]) for x in sorted(answers, key=lambda x: x[0][0])], strict=True)]
+    if kept is None:
+        # the first answers have customers and tables; none come where no text trains
         none = np.zeros(0, np.int64)
-        return (none, none, np.zeros((0, BURN + SAMPLES + 1), np.int64)), states
-    names = [_names(*x[:2]) for x in answers]
-    order = np.argsort([x[0] for x in names])
-    names = np.concatenate([names[i] for i in order])
-    first, *more = (np.concatenate([answers[i][j] for i in order]) for j in range(2, len(answers[0])))
-    # the first answer has customers and tables, later ones tables: the names stay the same
-    customers, history = (first, more) if kept is None else (kept[0], [*kept[1:], first])
-    return (names, customers, np.stack(history, axis=1)), states
+        names, customers, first = answers or (none, none, none)
+        return (names, customers, first[:, None] if len(names) else np.zeros((0, BURN + SAMPLES + 1), np.int64)), states
+    names, first, more = _names(*kept[:2]), *kept[2:4]
+    at = np.flatnonzero(moving(first + more, first))
+    history = np.repeat(first[:, None], len(kept) - 2, axis=1)
+    for k, tables in enumerate((*kept[4:], *answers[1:]), 1):
+        history[at, k] = tables
+    return (names, first + more, history), states
+
+
+def _kept(names: np.ndarray, customers: np.ndarray, history: np.ndarray) -> bytes:
+    """What :func:`_own` reads, for the next time: tables after a sweep only of names where they can change."""
+    first = history[:, 0]
+    return _packed(*_named(names), first, customers - first, *history[moving(customers, first), 1:].T)
 
 
 def swept(bucket: int, slices, own, states, shared, totals, shards: int):
@@ -584,11 +597,10 @@ def swept(bucket: int, slices, own, states, shared, totals, shards: int):
         kept[k * SLICES + b.part] = chain.state()
         parent_hot = b.hot[b.parent_word]
         some = np.flatnonzero(parent_hot >= 0)
-        used = np.unique(b.u[chain.place >= 0])
-        before.append((b.name[used], np.bincount(b.u[chain.own], weights=chain.tables[chain.own], minlength=len(b.name))[used]))
+        before.append((b.name[chain.moving], np.bincount(b.u, weights=chain.tables, minlength=len(b.name))[chain.moving]))
         rows += [_numbers(chain.sums()), _rows(PARENTS, bucket, parent_hot[some] * CLASSES + b.parent_class[some], chain.parent_customers[some])]
     rows.append(_to_shards(BEFORE, bucket, *_added(before), shards))
-    return [*rows, _blobs(STATE, bucket, [*kept.items(), *([(KEPT, _packed(own[1], *own[2].T))] if len(own[0]) else [])])]
+    return [*rows, _blobs(STATE, bucket, [*kept.items(), *([(KEPT, _kept(*own))] if len(own[0]) else [])])]
 
 
 def scored(slices, own, states, shared, totals) -> list:
@@ -738,7 +750,7 @@ def steps(docs: DataFrame, folds: int = 10, id_column: str = "doc_id", text_colu
         "discounts": (_of_counts(*numbers[2:4]), _of_counts(*numbers[4:6]), _of_counts(*numbers[6:8])),
     }
     # every word's restaurant as a word before has as many customers as the word has tokens; the beginning, as there are ends
-    loud = [(int(h) & _NAME if h != END else BEGIN, int(c)) for h, c in zip(hot, hot_counts) if c >= OWN or (h == END and c)]
+    loud = [(int(h) & _NAME if h != END else BEGIN, int(c)) for h, c in zip(hot, hot_counts) if c]
     loud = _added([tuple(np.array(x, np.int64).reshape(-1) for x in zip(*loud))]) if loud else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     to_shards = sent.filter(F.col("kind").isin(WORDS, BEFORE)).select("kind", "bucket", "u", "s")
     back = to_shards.groupBy("u").applyInArrow(lambda table: owned(table, loud, shards), BACK)
@@ -769,6 +781,8 @@ def steps(docs: DataFrame, folds: int = 10, id_column: str = "doc_id", text_colu
         back = to_shards.groupBy("u").applyInArrow(added, BACK).unionByName(sent.filter(F.col("kind") == STATE).select("bucket", "u", "s"))
         released(spark)
 
+    # the pairs are of no use to scoring, which has the most on disk
+    drop_written(tables.pop(0))
     return Model(dealt(True), back, hot, shared, totals, tables)
 
 

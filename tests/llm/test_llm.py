@@ -422,6 +422,36 @@ def test_probabilities_add_up_after_each_word(spark):
         assert set(by[name(x)]) == vocabulary and abs(sum(by[name(x)].values()) - 1) < 1e-9
 
 
+def test_every_word_before_has_a_restaurant(spark):
+    """Rare ones too: with the customers and, after each sweep, the tables that all buckets have together."""
+    rows = [(i, f"once{i} uab left vab right" if i % 2 else f"twice{i // 4} twice{i // 4} wab left") for i in range(60)]
+    held = [j for j in range(1000, 3000) if zlib.crc32(str(j).encode()) % 10 == 0]
+    df = spark.createDataFrame([*rows, *zip(held, ("uab left", "uab right", "vab left", "vab right", "new left"))], "doc_id long, text string")
+    want = collections.Counter()
+    for _, t in (r for r in rows if zlib.crc32(str(r[0]).encode()) % 10):
+        want.update(perplexity.BEGIN if x is None else xxhash.xxh64_intdigest(x) & (1 << 40) - 1 for x in [None, *t.split()])
+    steps = perplexity.steps(df)
+    last = len(steps.totals)
+    assert last == perplexity.BURN + perplexity.SAMPLES + 1
+    told, customers, tables = {}, collections.Counter(), collections.Counter()
+    for left, right in steps.pairs():
+        own, states = perplexity._own(right)
+        for name, n, history in zip(*own):
+            assert len(history) == last and told.setdefault(int(name), (int(n), *map(int, history))) == (int(n), *map(int, history))
+        for b in perplexity._slices(perplexity._messages(left), steps.hot):
+            chain = perplexity.Chain(b, own, steps.shared)
+            for k in range(perplexity.BURN + 1, last):
+                chain.restore(states[k * perplexity.SLICES + b.part])
+                for u, c, t in zip(b.u, b.c, chain.tables):
+                    customers[int(b.name[u])] += int(c) if k == last - 1 else 0
+                    tables[int(b.name[u]), k] += int(t)
+    assert {name: x[0] for name, x in told.items()} == want == +customers
+    assert all(x[1 + k] == tables[name, k] for name, x in told.items() for k in range(perplexity.BURN + 1, last))
+    # words of one class, each with a word of its own after it: their pairs are told apart
+    score = {t: r.score for r in perplexity.scores(df).collect() for j, t in zip(held, ("uab left", "uab right", "vab left", "vab right")) if r.id == j}
+    assert min(score["uab left"], score["vab right"]) > max(score["uab right"], score["vab left"]) + 0.5
+
+
 def test_scores_do_not_depend_on_partitions(spark, docs):
     want = {r.id: (r.score, r.n_known) for r in perplexity.scores(docs).collect()}
     spark.conf.set("spark.sql.shuffle.partitions", "11")
