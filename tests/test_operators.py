@@ -3,6 +3,8 @@
 import random
 import zlib
 
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,6 +207,43 @@ def test_segments_round_trip(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(range_id" in back.filter("range_id = 1")._jdf.queryExecution().toString()
 
 
+def test_segment_files_without_folders_of_their_own(spark, tmp_path):
+    """A file for each segment, whole and in order, however batches cut it; folders for ranges only; writes add up; no range, no rows."""
+    top = tmp_path / "a log"
+    rows = [(r, s, e, f"{r}/{e}") for r in (0, 1, None) for s in range(20) for e in range(s * 7, s * 7 + 7)]
+    schema = "range_id long, segment_id long, entry_id long, note string"
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        log.write_segments(spark.createDataFrame(rows[::-1], schema), str(top))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {p.name for p in top.iterdir()} == {"range_id=0", "range_id=1", f"range_id={log.NO_RANGE}"}
+    files = [p for p in top.rglob("*") if p.is_file()]
+    assert sorted(p.name.split("-")[:2] for p in files) == sorted([str(s), str(s * 7)] for s in range(20) for _ in range(3))
+    for p in files:
+        found = pq.ParquetFile(p).read().to_pydict()
+        assert set(found["segment_id"]) == {int(p.name.split("-")[0])} and found["entry_id"] == list(range(found["entry_id"][0], found["entry_id"][0] + 7))
+    read = lambda: spark.read.schema(schema).parquet(str(top)).select("range_id", "segment_id", "entry_id", "note")
+    assert sorted(map(tuple, read().collect()), key=repr) == sorted(rows, key=repr)
+    log.write_segments(spark.createDataFrame(rows[:5], schema), str(top))
+    assert sorted(map(tuple, read().collect()), key=repr) == sorted(rows + rows[:5], key=repr)
+    log.write_segments(spark.createDataFrame([], schema), str(tmp_path / "empty"))
+    assert spark.read.schema(schema).parquet(str(tmp_path / "empty")).count() == 0
+
+
+def test_segment_files_where_arrow_cannot_write(spark, tmp_path, monkeypatch):
+    rows = [(r, s, e, f"{r}/{e}") for r in range(2) for s in range(3) for e in range(s * 4, s * 4 + 4)]
+    schema = "range_id long, segment_id long, entry_id long, note string"
+
+    class Unknown:
+        from_uri = staticmethod(lambda uri: pafs.FileSystem.from_uri("nowhere://a/b"))
+
+    monkeypatch.setattr(log, "pafs", type("Stores", (), {"FileSystem": Unknown}))
+    log.write_segments(spark.createDataFrame(rows, schema), str(tmp_path / "log"))
+    back = spark.read.schema(schema).parquet(str(tmp_path / "log")).select("range_id", "segment_id", "entry_id", "note")
+    assert sorted(map(tuple, back.collect())) == rows
+
+
 def test_owners_by_brute_force(spark):
     """Few tokens, equal hashes, an excluded node, more owners wanted than there are nodes; no pairs of anchors and tokens."""
     rng = random.Random(2)
